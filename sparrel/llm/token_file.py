@@ -119,10 +119,10 @@ class Segment:
         return out
 
     def documents(self):
-        """(doc_id, ids) of every document in order."""
-        start = 0
+        """(doc_id, ids) of every document in order; the segment is read once as a whole."""
+        ids, start = self.run(0, self.n_ids), 0
         for doc, end in zip(self.doc_ids, self.ends.tolist(), strict=True):
-            yield doc, self.run(start, end)
+            yield doc, ids[start:end]
             start = end
 
 
@@ -189,7 +189,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for part, segment, blob in zip(batch.column("part").to_pylist(), batch.column("segment").to_pylist(), batch.column("blob"), strict=True):
                 s = Segment(blob.as_py())
-                crcs = [zlib.crc32(ids.astype("<u4").tobytes()) for _, ids in s.documents()]
+                crcs = [zlib.crc32(ids.astype("<u4")) for _, ids in s.documents()]
                 sizes = np.diff(s.ends, prepend=0)
                 n = len(s.doc_ids)
                 yield pa.RecordBatch.from_pydict({
