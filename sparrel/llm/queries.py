@@ -41,6 +41,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_dedup
+
+    return near_dedup(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_token_file": op1_token_file,
@@ -48,6 +54,7 @@ def queries() -> dict:
         "op4_exact_dedup": op4_exact_dedup,
         "op7_sharding": op7_sharding,
         "op8_packing": op8_packing,
+        "op9_minhash_near_dedup": op9_minhash_near_dedup,
     }
 
 
