@@ -11,8 +11,9 @@ or more: 2 in 100,000 such pairs do not.
 No bucket is turned into all its pairs.  Each round, a node proposes the partner that looks most
 like it (128 minima of 4 bits each) in another component, the links are confirmed on full sets, and
 components grow; only buckets that hold several components go on.  What is left after
-``ROUNDS`` is small, and there all pairs of different components that look similar enough are confirmed
-(buckets of over ``BLOCK`` nodes in blocks, each pair of blocks on its own).
+``ROUNDS`` is small, and there all pairs of different components that look similar enough are confirmed,
+bucket by bucket in memory: the nodes that take part in such pairs are sent with their sets, never the
+pairs (buckets of over ``BLOCK`` nodes in blocks, each pair of blocks on its own).
 
 Null or empty text, or no words: an empty set, linked with nothing.  Null doc_id: a document of no
 group, kept.  Repeated rows, or texts of one doc_id: nodes go by their sets, so rows alike are one
@@ -193,7 +194,7 @@ def _canonical(sa: np.ndarray, sb: np.ndarray) -> np.ndarray:
 
 
 def _pairs_of(unit: dict, every: bool):
-    """Similar-looking pairs of different components of one bucket, or of two of its blocks: for each
+    """Places of similar-looking pairs of different components of one bucket, or of two of its blocks: for each
     node the nearest, or all (each in the first bucket that has it)."""
     node, comp, block, size, signs = (unit[c] for c in ("node", "comp", "block", "n_shingles", "signature"))
     looks = sketch(signs)
@@ -216,16 +217,18 @@ def _pairs_of(unit: dict, every: bool):
             if len(i):
                 first = _canonical(signs[i], signs[j]) == unit["slot"]
                 i, j = i[first], j[first]
-            yield node[i], node[j], np.zeros(len(i), np.int32)
+            yield i, j, np.zeros(len(i), np.int32)
         else:
             agree = np.where(ok, agree, -1)
             j = agree.argmax(axis=1)
             best = agree[np.arange(len(rows)), j]
             rows, j, best = rows[best >= 0], j[best >= 0], best[best >= 0]
-            yield node[rows], node[j], best.astype(np.int32)
+            yield rows, j, best.astype(np.int32)
 
 
-def _propose(every: bool):
+def _units(work):
+    """A function of batches sorted by (key, u, v) that calls ``work`` with the columns of each unit."""
+
     def run(batches):
         held: list = []
         unit = None
@@ -237,10 +240,10 @@ def _propose(every: bool):
                 return
             one = {c: t.column(c).to_numpy() for c in ("node", "comp", "block", "n_shingles")}
             one["signature"] = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint16).reshape(n, HASHES)
-            one |= {c: t.column(c)[0].as_py() for c in ("u", "v", "slot")}
-            for a, b, s in _pairs_of(one, every):
-                if len(a):
-                    yield pa.RecordBatch.from_pydict({"a": a, "b": b, "agree": s})
+            one |= {c: t.column(c)[0].as_py() for c in ("key", "slot", "u", "v")}
+            if "set" in t.column_names:
+                one["set"] = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("set")]
+            yield from work(one)
 
         for batch in batches:
             n = batch.num_rows
@@ -261,16 +264,68 @@ def _propose(every: bool):
     return run
 
 
-def propose(members: DataFrame, comps: DataFrame, signs: DataFrame, every: bool) -> DataFrame:
-    """Pairs a, b, agree out of the buckets that hold several components."""
+def _nearest(unit):
+    for i, j, agree in _pairs_of(unit, False):
+        if len(i):
+            yield pa.RecordBatch.from_pydict({"a": unit["node"][i], "b": unit["node"][j], "agree": agree})
+
+
+def _partakers(unit):
+    """The rows of a unit that take part in any of its pairs."""
+    some = np.zeros(len(unit["node"]), bool)
+    for i, j, _ in _pairs_of(unit, True):
+        some[i] = some[j] = True
+    if some.any():
+        n = int(some.sum())
+        yield pa.RecordBatch.from_pydict(
+            {c: pa.array(np.full(n, unit[c], k)) for c, k in (("key", np.int64), ("slot", np.int8), ("u", np.int32), ("v", np.int32))} | {c: unit[c][some] for c in ("node", "comp", "block")}
+        )
+
+
+def _confirm_unit(unit):
+    """Links of a unit on full sets; components that a link has joined are compared no more."""
+    comp, sets, of = unit["comp"], unit["set"], {}
+
+    def root(c):
+        while of.setdefault(c, c) != c:
+            of[c] = c = of[of[c]]
+        return c
+
+    found = []
+    for i, j, _ in _pairs_of(unit, True):
+        for x, y in zip(i.tolist(), j.tolist(), strict=True):
+            cx, cy = root(int(comp[x])), root(int(comp[y]))
+            if cx != cy:
+                both = _shared(sets[x], sets[y])
+                if 100 * both >= SIMILARITY * (len(sets[x]) + len(sets[y]) - both):
+                    of[cx] = cy
+                    found.append((x, y))
+    if found:
+        x, y = np.array(found).T
+        yield pa.RecordBatch.from_pydict({"a": unit["node"][x], "b": unit["node"][y]})
+
+
+def _open_units(members: DataFrame, comps: DataFrame, signs: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold several components, dealt into units of two blocks at most."""
     rows = materialise(members.join(comps, "node"), "members")
     open_ = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
     open_ = materialise(open_.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "open")
     rows = rows.join(open_, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.join(signs, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", "slot", F.least("block", "other").alias("u"), F.greatest("block", "other").alias("v"), "node", "comp", "block", "n_shingles", "signature")
-    rows = rows.repartition("key", "u", "v").sortWithinPartitions("key", "u", "v")
-    return rows.mapInArrow(_propose(every), "a long, b long, agree int")
+    return rows.repartition("key", "u", "v").sortWithinPartitions("key", "u", "v")
+
+
+def propose(members: DataFrame, comps: DataFrame, signs: DataFrame) -> DataFrame:
+    """For each node outside the largest component of an open bucket, the nearest of another: a, b, agree."""
+    return _open_units(members, comps, signs).mapInArrow(_units(_nearest), "a long, b long, agree int")
+
+
+def settle(members: DataFrame, comps: DataFrame, signs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links a, b out of all similar-looking pairs of different components in open buckets."""
+    some = _open_units(members, comps, signs).mapInArrow(_units(_partakers), "key long, slot byte, u int, v int, node long, comp long, block int")
+    some = materialise(some, "partakers").join(signs, "node").join(sets, "node")
+    return some.repartition("key", "u", "v").sortWithinPartitions("key", "u", "v").mapInArrow(_units(_confirm_unit), "a long, b long")
 
 
 def _agree_of(batches):
@@ -320,16 +375,17 @@ def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     comps = grow(comps, materialise(confirm(materialise(best, "pairs"), sets), "found"))
     members = members.select("key", "slot", "node")
     for _ in range(ROUNDS - 1):
-        near = propose(members, comps, signs, False).groupBy("a").agg(F.max(F.struct("agree", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+        near = propose(members, comps, signs).groupBy("a").agg(F.max(F.struct("agree", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
         near = near.select(F.col("b").alias("a"), F.col("a").alias("b"))
         comps = grow(comps, materialise(confirm(materialise(near, "pairs"), sets), "found"))
-    rest = propose(members, comps, signs, True).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    comps = grow(comps, materialise(confirm(materialise(rest, "pairs"), sets), "found"))
+    comps = grow(comps, materialise(settle(members, comps, signs, sets), "found"))
 
     known = materialise(classes.select("digest", "node", "rep", "n_rows").join(comps, "node", "left"), "known")
-    least = known.where("comp IS NOT NULL").groupBy("comp").agg(F.min("rep").alias("least"))
-    named = known.join(least, "comp", "left").select("digest", "n_rows", F.coalesce("least", "rep").alias("component_id"))
-    return rows, materialise(named, "named")
+    linked = known.where("comp IS NOT NULL").withColumnRenamed("n_rows", "n_copies")
+    least = linked.groupBy("comp").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("n_rows"))
+    linked = join_by_key(linked, least, "comp", linked.count(), "node").select("digest", F.col("n_copies").alias("n_rows"), F.col("least").alias("component_id"))
+    alone = known.where("comp IS NULL").select("digest", "n_rows", F.col("rep").alias("component_id"))
+    return rows, materialise(alone.unionByName(linked), "named")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
