@@ -59,18 +59,12 @@ class _Codes(dict):
         return n
 
 
-class ChunkEncoder:
-    def __init__(self, path: str, kind: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        os.environ.setdefault("RAYON_NUM_THREADS", "1")
-        from tokenizers import Tokenizer
+class ChunkCache:
+    """Ids of texts from the ids of their chunks.  ``find`` cuts a text into chunks, ``ask`` gives the
+    ids of chunks that are not in the cache."""
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.find = _words if kind == "word" else CHUNKS[kind].findall
-        self.ask = self.tokenizer.model.tokenize
-        self.keeps_space = kind == "byte"
-        self.spelling = _byte_letters()
+    def __init__(self, find, ask):
+        self.find, self.ask = find, ask
         self._clear()
 
     def _clear(self) -> None:
@@ -81,27 +75,12 @@ class ChunkEncoder:
         self.first = np.zeros(1 << 16, np.int64)
         self.size = np.zeros(1 << 16, np.int64)
 
-    def _word(self, chunk: str) -> list[int] | None:
-        """Ids of a chunk that is one word of Latin-1 letters and perhaps a run of punctuation: its
-        pre-tokens are plain to see, so the model is asked directly.  None for all others."""
-        word = chunk.rstrip(PUNCTUATION)
-        bare = word[1:] if self.keeps_space and word[:1] == " " else word
-        if not bare.isalpha() or not (bare.isascii() or max(bare) <= "\xff"):
-            return None
-        end = chunk[len(word) :]
-        word = (word if self.keeps_space else word.lower()).translate(self.spelling)
-        ids = [t.id for t in self.ask(word)]
-        return ids + [t.id for t in self.ask(end)] if end else ids
-
     def _learn(self, known: int, chunks: list[str]) -> None:
         """Ids of new chunks, whose codes start at ``known``."""
         n = known + len(chunks)
         if n > len(self.size):
             self.first, self.size = (np.resize(a, 2 * n) for a in (self.first, self.size))
-        ids = [self._word(c) for c in chunks]
-        rest = [k for k, x in enumerate(ids) if x is None]
-        for k, e in zip(rest, self.tokenizer.encode_batch_fast([chunks[k] for k in rest], add_special_tokens=False), strict=True):
-            ids[k] = e.ids
+        ids = self.ask(chunks)
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         new = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
         end = self.used + len(new)
@@ -131,6 +110,41 @@ class ChunkEncoder:
         return self.flat[at], ends[np.cumsum(counts)]
 
 
+class ChunkEncoder(ChunkCache):
+    """Ids of the tokenizers library under the vocabulary at ``path``."""
+
+    def __init__(self, path: str, kind: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        os.environ.setdefault("RAYON_NUM_THREADS", "1")
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.model_ids = self.tokenizer.model.tokenize
+        self.keeps_space = kind == "byte"
+        self.spelling = _byte_letters()
+        super().__init__(CHUNKS[kind].findall if self.keeps_space else _words, self._ids)
+
+    def _word(self, chunk: str) -> list[int] | None:
+        """Ids of a chunk that is one word of Latin-1 letters and perhaps a run of punctuation: its
+        pre-tokens are plain to see, so the model is asked directly.  None for all others."""
+        word = chunk.rstrip(PUNCTUATION)
+        bare = word[1:] if self.keeps_space and word[:1] == " " else word
+        if not bare.isalpha() or not (bare.isascii() or max(bare) <= "\xff"):
+            return None
+        end = chunk[len(word) :]
+        word = (word if self.keeps_space else word.lower()).translate(self.spelling)
+        ids = [t.id for t in self.model_ids(word)]
+        return ids + [t.id for t in self.model_ids(end)] if end else ids
+
+    def _ids(self, chunks: list[str]) -> list[list[int]]:
+        ids = [self._word(c) for c in chunks]
+        rest = [k for k, x in enumerate(ids) if x is None]
+        for k, e in zip(rest, self.tokenizer.encode_batch_fast([chunks[k] for k in rest], add_special_tokens=False), strict=True):
+            ids[k] = e.ids
+        return ids
+
+
 _encoders: dict[tuple[str, str], ChunkEncoder] = {}
 
 

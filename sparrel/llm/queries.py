@@ -6,6 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from .common import table
 
 
@@ -22,12 +24,34 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents")).drop("host_rate")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import encode_report
+
+    return encode_report(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of all documents before and after an edit in the middle of each."""
+    from .token_counts import apply_edits, count_states, middle_edits
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    states = count_states(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    out = apply_edits(middle_edits(states), path, public_tokenizers.PATTERN)
+    return out.select("doc_id", "n_tokens_before", "n_tokens", "n_encoded")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard
 
@@ -47,15 +71,21 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {
-        "op1_token_file": op1_token_file,
-        "op2_quality_rules": op2_quality_rules,
-        "op4_exact_dedup": op4_exact_dedup,
-        "op7_sharding": op7_sharding,
-        "op8_packing": op8_packing,
-        "op9_minhash_near_dedup": op9_minhash_near_dedup,
-    }
+    return {f.__name__: f for f in (
+        op1_token_file, op2_quality_rules, op3_license_scan, op4_exact_dedup, op5_sentencepiece, op6_token_counts,
+        op7_sharding, op8_packing, op9_minhash_near_dedup, op10_html_extraction, pipeline,
+    )}
 
 
 def oracle_sql() -> dict:
