@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sparrel.llm.common import materialise, table
 from sparrel.llm.exact_dedup import keep_first
@@ -25,7 +26,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), "byte", 0)
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), "byte", 0).withColumn("ids_crc32", F.crc32("ids"))
 
 
 STAGES = [
