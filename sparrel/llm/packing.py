@@ -25,7 +25,7 @@ from .encode import encoder, text_slices
 
 SEQUENCE, OPEN_WINDOWS = 1024, 64
 #: Partitions whose left-over windows are merged in one task.
-MERGED_PARTITIONS = 256
+MERGED_PARTITIONS = 32
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
