@@ -42,6 +42,8 @@ HASHES = 128
 LEAST_AGREE = 77
 ROUNDS = 2
 BLOCK = 1024
+#: Shingles of a block's nodes, by which a bucket of long texts is cut into more blocks.
+BLOCK_SHINGLES = 4_000_000
 #: Nodes whose texts are picked by a broadcast of their ids; beyond it by a sort-merge join.
 BROADCAST_IDS = 1_000_000
 #: Edges of a centre that are confirmed in one task.
@@ -307,10 +309,11 @@ def _confirm_unit(unit):
 
 def _open_units(members: DataFrame, comps: DataFrame, signs: DataFrame) -> DataFrame:
     """Rows of the buckets that hold several components, dealt into units of two blocks at most."""
-    rows = materialise(members.join(comps, "node"), "members")
-    open_ = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
-    open_ = materialise(open_.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "open")
-    rows = rows.join(open_, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = materialise(members.join(comps.join(signs.select("node", "n_shingles"), "node"), "node"), "members")
+    open_ = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s")).where("lo <> hi")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
+    open_ = materialise(open_.select("key", blocks.alias("blocks")), "open")
+    rows = rows.drop("n_shingles").join(open_, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.join(signs, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", "slot", F.least("block", "other").alias("u"), F.greatest("block", "other").alias("v"), "node", "comp", "block", "n_shingles", "signature")
     return rows.repartition("key", "u", "v").sortWithinPartitions("key", "u", "v")
