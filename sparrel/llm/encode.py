@@ -155,6 +155,11 @@ def encoder(path: str, kind: str) -> ChunkEncoder:
     return _encoders[path, kind]
 
 
+def forget() -> None:
+    """Give back the encoders of a worker process that turns to other work."""
+    _encoders.clear()
+
+
 def text_slices(texts, most: int = 1 << 20):
     """(first, last) of runs of rows with about ``most`` characters, one row at least."""
     start = held = 0

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import free_name, join_by_key, materialise
-from .encode import text_slices
+from .encode import forget, text_slices
 from .shingles import mix, text_shingles
 
 SHINGLE, SIMILARITY = 5, 75
@@ -89,6 +89,7 @@ def disagree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches):
+    forget()
     for batch in batches:
         texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
         for a, b in text_slices(texts):
