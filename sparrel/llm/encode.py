@@ -16,20 +16,24 @@ import numpy as np
 #: The characters with the Unicode property White_Space.
 UNICODE_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
-#: kind -> pattern of chunks.  "word" vocabularies drop white space; "byte" ones keep it.
+#: ASCII punctuation that forms one pre-token with more of it; the apostrophe may start a contraction.
+PUNCTUATION = ".,;:!?*%#$&|"
+
+_END = f"(?=[{UNICODE_SPACE}]|\\Z)"
+#: kind -> pattern of chunks.  "word" vocabularies drop white space; "byte" ones keep it.  Of the latter, a
+#: word of Latin-1 letters is a chunk without the run of punctuation between it and the next white space,
+#: which is another: a pre-token ends there too, and far fewer chunks are new.
 CHUNKS = {
     "word": re.compile(f"[^{UNICODE_SPACE}]+"),
-    "byte": re.compile(f"[{UNICODE_SPACE}]*[^{UNICODE_SPACE}]+|[{UNICODE_SPACE}]+"),
+    "byte": re.compile(
+        f" ?[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[{PUNCTUATION}]*+{_END})|[{PUNCTUATION}]++{_END}|[{UNICODE_SPACE}]*[^{UNICODE_SPACE}]+|[{UNICODE_SPACE}]+"
+    ),
 }
 
 #: Characters of text in the cache; beyond it the cache starts anew.
 CACHE_CHARS = 12_000_000
 
 
-#: ASCII punctuation that forms one pre-token with more of it; the apostrophe may start a contraction.
-PUNCTUATION = ".,;:!?*%#$&|"
-
-
 def _byte_letters() -> dict[int, str]:
     """What the byte-level alphabet writes for the letters of Latin-1: printable bytes stand for
     themselves, the others follow from U+0100 on."""
