@@ -89,9 +89,11 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    from .quality import REPORT_SQL
+    from . import near_dedup, quality, sharding
 
-    return {"op2_quality_rules": REPORT_SQL, "op4_exact_dedup": OP4_SQL}
+    return {
+        "op2_quality_rules": quality.REPORT_SQL, "op4_exact_dedup": OP4_SQL, "op7_sharding": sharding.SHARD_SQL, "op9_minhash_near_dedup": near_dedup.REPORT_SQL,
+    }
 
 
 OP4_SQL = r"""

@@ -4,7 +4,7 @@ The shard is a function of doc_id and the number of shards alone; no ring or tab
 one more shard takes rows only into itself.  The generator key * 2862933555777941757 + 1 modulo
 2**64 is worked on two halves of 32 bits, so that no product overflows under ANSI arithmetic.
 
-Null text: size 1 and the crc of nothing.  Null doc_id: the text's hash is the key.  Repeated
+Null text: size 1 and the crc of nothing.  Null doc_id: the text's crc is the key.  Repeated
 rows: all in one shard, in slots that follow one another.  Other columns are ignored.
 """
 
@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from .common import free_name
+
 #: The multiplier of the generator and the buckets that slots are counted in.
 MULTIPLIER = 2862933555777941757
 SLOT_BUCKETS = 256
@@ -54,13 +56,14 @@ def jump_hash(key: Column, shards: int) -> tuple[Column, Column]:
 def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row.
 
-    Slots are counted in two steps: rows of each (shard, hash bucket), then a running sum over
-    those shards * SLOT_BUCKETS counts, a table of fixed size.  No shard meets in one task."""
+    Slots are counted in two steps: rows of each (shard, bucket of doc_id and text), then a running
+    sum over those shards * SLOT_BUCKETS counts, a table of fixed size.  No shard meets in one task,
+    nor do the rows of one doc_id or of one text."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    key = F.when(F.col("doc_id").isNull(), F.xxhash64(text)).otherwise(F.xxhash64("doc_id"))
-    rows = docs.select(F.col("doc_id"), (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), key.alias("key"))
+    rows = docs.select(F.col("doc_id"), (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    rows = rows.withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.col("text_crc32")))
     bucket, grown = jump_hash(F.col("key"), shards)
-    rows = rows.withColumn("b", F.pmod(F.xxhash64("key"), F.lit(SLOT_BUCKETS)).cast("int"))
+    rows = rows.withColumn("b", F.col("key").bitwiseXOR(F.col("text_crc32")).bitwiseAND(F.lit(SLOT_BUCKETS - 1)).cast("int"))
     rows = rows.withColumn("j", F.struct(bucket.alias("shard"), grown.alias("grown_shard")))
     rows = rows.select("doc_id", "size", "text_crc32", "b", "j.shard", "j.grown_shard")
     counts = rows.groupBy("shard", "b").agg(F.count(F.lit(1)).alias("n"))
@@ -74,5 +77,38 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16) -> None:
     """All columns of ``docs`` into folders shard=0.. below ``path``."""
-    key = F.when(F.col("doc_id").isNull(), F.xxhash64(F.coalesce("text", F.lit("")))).otherwise(F.xxhash64("doc_id"))
-    docs.withColumn("shard", jump_hash(key, shards)[0]).write.partitionBy("shard").parquet(path)
+    key = F.coalesce(F.col("doc_id").cast("long"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
+    docs.withColumn(free_name(docs, "shard"), jump_hash(key, shards)[0]).write.partitionBy(free_name(docs, "shard")).parquet(path)
+
+
+#: The report in SQL for 16 shards.  A crc is linear: it is the sum (XOR) of what each byte gives, and a byte
+#: that k others follow gives its own crc moved on by k zero bytes; bytes are summed in blocks of 128, and
+#: moves by whole blocks are 32 images of single bits.
+SHARD_SQL = r"""
+WITH RECURSIVE
+s AS (SELECT 0 AS t, CAST(1 AS BIGINT) AS v UNION ALL SELECT t + 1, xor(v >> 1, (v & 1) * 3988292384) FROM s WHERE t < 1024),
+z AS (SELECT t, v FROM s UNION ALL SELECT CAST(-u AS INT), CAST(1 AS BIGINT) << CAST(u AS BIGINT) FROM range(1, 32) AS x(u)),
+y AS (SELECT upper(printf('%02x', CAST(byte AS INT))) AS h, CAST(k AS INT) AS k, coalesce(bit_xor(z.v), 0) AS v
+  FROM range(256) AS x(byte) CROSS JOIN range(128) AS p(k) CROSS JOIN range(8) AS j(bit) LEFT JOIN z ON z.t = 8 * k + 8 - bit AND (byte >> bit) & 1 = 1 GROUP BY byte, k),
+d AS (SELECT row_number() OVER () AS r, doc_id, strlen(coalesce(text, '')) AS n, regexp_extract_all(hex(coalesce(text, '')), '..') AS bytes FROM documents),
+one AS (SELECT list(v ORDER BY t DESC) AS m FROM z WHERE t > 992),
+move AS (
+  SELECT CAST(0 AS BIGINT) AS q, m, list_transform(range(32), lambda b: CAST(1 AS BIGINT) << b) AS images FROM one
+  UNION ALL SELECT q + 1, m, list_transform(images, lambda w: list_bit_xor(list_transform(range(32), lambda c: CASE WHEN (w >> c) & 1 = 1 THEN m[c + 1] ELSE 0 END)))
+  FROM move WHERE q <= (SELECT max(n) // 128 FROM d)),
+part AS (
+  SELECT r, (n - i) // 128 AS q, y.v FROM (SELECT r, n, unnest(bytes) AS h, unnest(range(1, n + 1)) AS i FROM d) AS e JOIN y ON y.h = e.h AND y.k = (n - i) % 128
+  UNION ALL SELECT r, greatest(8 * n - b, 0) // 1024, z.v FROM d CROSS JOIN range(32) AS x(b) JOIN z ON z.t = 8 * n - b - 1024 * (greatest(8 * n - b, 0) // 1024)),
+block AS (SELECT r, q, bit_xor(v) AS v FROM part GROUP BY r, q),
+c AS (
+  SELECT r, xor(bit_xor(list_bit_xor(list_transform(range(32), lambda b: CASE WHEN (v >> b) & 1 = 1 THEN images[b + 1] ELSE 0 END))), 4294967295) AS crc
+  FROM block JOIN move USING (q) GROUP BY r),
+k AS (SELECT d.r, doc_id, n + 1 AS size, c.crc, coalesce(doc_id, c.crc) AS key FROM d JOIN c ON c.r = d.r),
+j AS (
+  SELECT r, CASE WHEN key < 0 THEN CAST(key AS HUGEINT) + 18446744073709551616 ELSE CAST(key AS HUGEINT) END AS state, CAST(-1 AS BIGINT) AS bucket, CAST(0 AS BIGINT) AS next FROM k
+  UNION ALL SELECT r, state, next, CAST(floor((next + 1) * (CAST(2147483648 AS DOUBLE) / CAST(state // 8589934592 + 1 AS DOUBLE))) AS BIGINT)
+  FROM (SELECT r, (state * 2862933555777941757 + 1) % CAST(18446744073709551616 AS HUGEINT) AS state, next FROM j WHERE next < 16) AS moved)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, 'key' AS law, CAST(bucket AS INT) AS shard,
+  row_number() OVER (PARTITION BY bucket ORDER BY xor(key, crc) & 255, doc_id NULLS FIRST, crc, size) - 1 AS slot, CAST(CASE WHEN next = 16 THEN 16 ELSE bucket END AS INT) AS grown_shard
+FROM k JOIN j ON j.r = k.r AND j.next >= 16
+"""

@@ -545,3 +545,22 @@ def test_pipeline(spark, tmp_path):
     check_packing(got, [(d, [*ids_of(t), 0]) for d, t in kept], 1024)
     assert len(kept) < len(first) < len(good) < len(rows)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "exact_dedup", "near_dedup", "packing"]
+
+
+@pytest.mark.parametrize("name", ["op2_quality_rules", "op4_exact_dedup", "op7_sharding", "op9_minhash_near_dedup"])
+def test_sql_gives_the_same_rows(spark, name, tmp_path):
+    """Not on sf data alone: texts of up to three bytes, of one code point in four bytes, and over a block long."""
+    import duckdb
+
+    from sparrel.llm import queries as q
+
+    texts = ["", "a", "ab", "abc", "abcd", "\U0001f600 é", None, "word " * 25, "x" * 127, "x" * 128, "x" * 129, " ".join(map(str, range(900)))]
+    texts += [" ".join(map(str, range(899))), " ".join(map(str, range(700))), "A b\tC d E", "a B c D e"]
+    rows = [(k * 37, t, "en", f"host{k % 3}", len(t or "")) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = q.queries()[name](spark, str(tmp_path))
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = db.sql(q.oracle_sql()[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(map(repr, map(tuple, got.select(*sorted(got.columns)).collect()))) == sorted(map(repr, want.select(*sorted(want.columns)).fetchall()))
