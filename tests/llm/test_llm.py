@@ -212,6 +212,41 @@ def test_op3_license_scan(spark, empty):
     assert license_scan.license_scan(empty).count() == 0
 
 
+def test_op3_wordings_of_licenses():
+    """Wordings that are not taken from the templates; what is missed or mistaken in each."""
+    disclaimer = "THIS SOFTWARE IS PROVIDED BY THE AUTHORS ``AS IS'' AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    two = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: * Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. * Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+    third = "* Neither the name of Some Firm nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+    gnu = "it under the terms of the GNU {} Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    cases = [
+        ("Released under the MIT License, see LICENSE", {"MIT"}, set()),
+        ("it is (licensed under the Apache License, Version 2.0 (see NOTICE)", {"Apache-2.0"}, set()),
+        ("This tool is under the \u201cMIT License\u201d.", {"MIT-named"}, set()),
+        ("License: BSD 3-Clause License", {"BSD-3-Clause-named"}, {"BSD-2-Clause-named"}),
+        ("// SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) OR MIT\nint x;", {"GPL-2.0-only-SPDX", "MIT-SPDX"}, {"GPL-2.0-named"}),
+        (two + disclaimer, {"BSD-2-Clause-full"}, {"BSD-3-Clause-full", "BSD-4-Clause-full"}),
+        (two + third + disclaimer, {"BSD-3-Clause-full"}, {"BSD-2-Clause-full", "BSD-4-Clause-full"}),
+        (two + disclaimer + " x " + two + third + disclaimer, {"BSD-2-Clause-full", "BSD-3-Clause-full"}, {"BSD-4-Clause-full"}),
+        ("# This program is free software; you can redistribute it and/or modify\n# " + gnu.format("General", "2"), {"GPL-2.0-notice"}, {"GPL-3.0-notice", "LGPL-2.1-notice"}),
+        ("Foo is free software: you can redistribute it and/or modify " + gnu.format("Affero General", "3"), {"AGPL-3.0-notice"}, {"GPL-3.0-notice", "GPL-2.0-notice", "LGPL-3.0-notice"}),
+        ("Foo is free software; you can redistribute it and/or modify " + gnu.format("Lesser General", "2.1"), {"LGPL-2.1-notice"}, {"GPL-2.0-notice", "LGPL-3.0-notice", "LGPL-2.0-notice"}),
+        (
+            "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED 'AS IS' AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+            {"ISC-full"}, {"0BSD-full"},
+        ),
+        ("Text licensed under a Creative Commons Attribution-ShareAlike 4.0 International License; this work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License!", {"CC-BY-SA-4.0-notice"}, {"CC-BY-4.0-notice"}),
+        ("A permit of the town, and the mit of a license is under review by the board of the gnu reserve.", set(), None),
+    ]
+    scanner = license_scan._default()
+    for text, want, unwanted in cases:
+        got = {x[1] for x in scanner.scan(["other text", "so begins " + text])}
+        assert want <= got and not got & unwanted if unwanted is not None else not got, (text[:80], got)
+    for name, text in license_scan.whole_texts().items():
+        assert name in {x[1] for x in scanner.scan([prose(random.Random(1), 30) + " " + text])}
+    agpl = {x[1] for x in scanner.scan([license_scan.whole_texts()["AGPL-3.0-full"]])}
+    assert "AGPL-3.0-full" in agpl and "GPL-3.0-full" not in agpl
+
+
 def test_op4_exact_dedup(spark, docs, empty, tmp_path):
     def norm(t):
         return re.sub(SPACES, " ", t or "")
