@@ -1,11 +1,13 @@
 """Operator 2: quality rules, with verdicts on hosts.
 
-Every whole text is measured in its own row with array functions, without a shuffle.  Rule
-failures are then summed by host (the ``source`` of a document).  A host's rate of failure is
-shrunk towards the rate of all hosts: a beta prior whose mean and weight are fitted to the hosts by
-the method of moments, so a host of few documents is judged mostly by the prior and one of many by
-its own rows.  Documents of a host whose shrunk rate of base failures is above ``HOST_RATE`` go,
-as do documents that fail the base rule themselves.
+Every whole text is measured in its own row with array functions, without a shuffle.  There are four
+rules: the base rule (words, repeated words), symbols for each word, the share of repeated lines and the
+mean length of words; the last three judge documents of ``MIN_WORDS`` or more.  Failures of each rule are
+then summed by host (the ``source`` of a document).  A host's rate of failure is shrunk towards the rate of
+all hosts: a beta prior for each rule, whose mean and weight are fitted to the hosts by the method of
+moments, so a host of few documents is judged mostly by the prior and one of many by its own rows.
+Documents of a host whose shrunk rate is above ``HOST_RATE`` under any of the rules go, as do documents
+that fail the base rule themselves.
 
 Null text: no words, which fails the base rule.  Null host: a host of its own.  Repeated rows: each
 is measured and counted.  Empty table: an empty result.  Other columns pass through the filter and
@@ -23,7 +25,10 @@ from .common import WS, free_name, join_by_key, materialise
 
 #: Fixed values of the base rule.
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
-#: A host is rejected when the shrunk share of its documents that fail the base rule is above this.
+#: Fixed values of the other rules: most symbols for a hundred words, most repeated lines in a hundred, and
+#: least and most characters in a word on average.
+SYMBOL_PERCENT, LINE_PERCENT, SHORT_WORDS, LONG_WORDS = 10, 30, 2, 15
+#: A host is rejected when the shrunk share of its documents that fail a rule is above this.
 HOST_RATE = 0.5
 #: The largest weight, in documents, that the prior is given.
 MOST_WEIGHT = 1e6
@@ -31,6 +36,8 @@ MOST_WEIGHT = 1e6
 BROADCAST_HOSTS = 10_000
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+#: The rules beside the base rule: null where a document is too short to be judged.
+RULES = ("symbols_failed", "lines_failed", "lengths_failed")
 
 
 def let(value: Column, use) -> Column:
@@ -65,13 +72,16 @@ def _repeat_words(words: Column) -> Column:
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """``docs`` with the five measures and ``base_failed``, all under names that ``docs`` must not have."""
+    """``docs`` with the five measures, ``base_failed`` and the other rules, all under names that ``docs`` must
+    not have."""
     text = F.coalesce(F.col("text"), F.lit(""))
     w, l = free_name(docs, "words"), free_name(docs, "lines")
     rows = docs.withColumn(w, F.array_remove(F.split(text, f"[{WS}]+"), ""))
     rows = rows.withColumn(l, F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{WS}]")))
+    lines = free_name(docs, "n_lines")
     rows = rows.select(
         *docs.columns,
+        F.size(l).alias(lines),
         F.size(w).cast("long").alias("n_words"),
         F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"),
         (F.char_length(text) - F.char_length(F.regexp_replace(text, "[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
@@ -79,7 +89,13 @@ def measure(docs: DataFrame) -> DataFrame:
         _repeat_words(F.col(w)).alias("n_repeat_words"),
     )
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * REPEAT_PERCENT)
-    return rows.withColumn("base_failed", failed)
+    broken = (
+        F.col("n_symbols") * 100 > F.col("n_words") * SYMBOL_PERCENT,
+        F.col("n_dup_lines") * 100 > F.col(lines) * LINE_PERCENT,
+        (F.col("word_chars") < F.col("n_words") * SHORT_WORDS) | (F.col("word_chars") > F.col("n_words") * LONG_WORDS),
+    )
+    others = [F.when(F.col("n_words") >= MIN_WORDS, b).alias(r) for r, b in zip(RULES, broken, strict=True)]
+    return rows.select(*[c for c in rows.columns if c != lines], failed.alias("base_failed"), *others)
 
 
 def beta_prior(hosts: DataFrame) -> tuple[float, float]:
@@ -100,12 +116,21 @@ def beta_prior(hosts: DataFrame) -> tuple[float, float]:
 
 
 def judge_hosts(measured: DataFrame, host_rate: float = HOST_RATE) -> DataFrame:
-    """host (null hosts as an empty struct field), n_rows, n_failed, rate, rejected: one row per host."""
-    hosts = measured.groupBy(F.struct(F.col("source")).alias("host")).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("base_failed").cast("long")).alias("n_failed"))
-    hosts = materialise(hosts, "hosts")
-    alpha, beta = beta_prior(hosts)
-    rate = (F.col("n_failed") + F.lit(alpha)) / (F.col("n_rows") + F.lit(alpha + beta))
-    return hosts.withColumn("rate", rate).withColumn("rejected", F.col("rate") > host_rate)
+    """host (null hosts as an empty struct field), n_rows, rate (of base failures), rejected: one row per host."""
+    sums = [F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("base_failed").cast("long")).alias("n_failed")]
+    for r in RULES:
+        sums += [F.count(r).alias(f"n_{r}"), F.coalesce(F.sum(F.col(r).cast("long")), F.lit(0)).alias(f"f_{r}")]
+    hosts = materialise(measured.groupBy(F.struct(F.col("source")).alias("host")).agg(*sums), "hosts")
+
+    def shrunk(n: str, failed: str) -> Column:
+        alpha, beta = beta_prior(hosts.where(F.col(n) > 0).select(F.col(n).alias("n_rows"), F.col(failed).alias("n_failed")))
+        return (F.col(failed) + F.lit(alpha)) / (F.col(n) + F.lit(alpha + beta))
+
+    rate = shrunk("n_rows", "n_failed")
+    rejected = rate > host_rate
+    for r in RULES:
+        rejected |= (F.col(f"n_{r}") > 0) & (shrunk(f"n_{r}", f"f_{r}") > host_rate)
+    return hosts.select("host", "n_rows", rate.alias("rate"), rejected.alias("rejected"))
 
 
 def quality_report(docs: DataFrame) -> DataFrame:
@@ -122,7 +147,7 @@ def quality_report(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that stay, with the columns of ``docs``."""
     bare = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text"), F.col("source"))
-    rows = materialise(measure(bare).select("_row", "source", "base_failed"), "measured")
+    rows = materialise(measure(bare).select("_row", "source", "base_failed", *RULES), "measured")
     bad = judge_hosts(rows).where("rejected").select(F.col("host").alias("bad_host"))
     few = bad.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
     good = rows.where(~F.col("base_failed"))

@@ -157,6 +157,31 @@ def test_op2_quality(spark, docs, empty):
     assert quality.keep_good(empty).count() == 0
 
 
+def test_op2_hosts_fall_under_every_rule(spark):
+    """Hosts of junk that passes the base rule go whole; a host with a tenth of it, and a small clean one, stay."""
+    r = random.Random(4)
+
+    def words(n, low=3, high=9):
+        return ["".join(r.choice("abcdefghijklm") for _ in range(r.randint(low, high))) for _ in range(n)]
+
+    junk = {
+        "symbols": lambda: " ".join(w + r.choice(["&&&", "%%%"]) for w in words(60)),
+        "lines": lambda: "\n".join(x for x in (" ".join(words(3)) for _ in range(14)) for _ in range(1 + (r.random() < 0.9))),
+        "lengths": lambda: " ".join(words(60, 18, 30)),
+        "letters": lambda: " ".join(words(60, 1, 2)),
+    }
+    rows = [(f"bad {name}", f() if k % 10 else " ".join(words(50))) for name, f in junk.items() for k in range(60)]
+    rows += [(f"mixed {name}", " ".join(words(50)) if k % 10 else f()) for name, f in junk.items() for k in range(60)]
+    rows += [(f"clean {k % 8}", " ".join(words(50))) for k in range(400)] + [("few", " ".join(words(50))), (None, " ".join(words(50)))]
+    docs = spark.createDataFrame([(k, t, s) for k, (s, t) in enumerate(rows)], "doc_id long, text string, source string")
+    report = quality.quality_report(docs).collect()
+    assert not any(g["base_failed"] for g in report)
+    want = {k for k, (s, _) in enumerate(rows) if not (s or "").startswith("bad")}
+    assert {g["doc_id"] for g in report if g["kept"]} == want
+    good = quality.keep_good(docs)
+    assert good.columns == docs.columns and {g["doc_id"] for g in good.collect()} == want
+
+
 def test_op2_prior_shrinks(spark):
     hosts = spark.createDataFrame([("a", 1, 1), ("b", 1000, 900), ("c", 1000, 100), ("d", 500, 60)], "host string, n_rows long, n_failed long")
     alpha, beta = quality.beta_prior(hosts)
