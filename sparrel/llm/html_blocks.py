@@ -9,9 +9,18 @@ from dataclasses import dataclass, field
 #: Kinds of elements in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr"
+    " math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts none"
+    " mtable mtr mtd maction semantics annotation annotation-xml".split()
 )
-HIDDEN = frozenset("head iframe math noembed noframes noscript object script style svg template title".split())
+HIDDEN = frozenset("annotation annotation-xml head iframe noembed noframes noscript object script style svg template title".split())
+#: Start tags that leave an open head open, and those that end an open svg.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+NOT_SVG = frozenset(
+    "article aside b blockquote body br center code dd details div dl dt em figure footer form h1 h2 h3 h4 h5 h6 header hr i img li main menu nav ol p pre section small span strong table td th tr ul".split()
+)
+#: Hidden elements whose end tag may not be left out, which hide nothing without it.
+ENDED = frozenset("noscript object template".split())
 #: Elements whose content is text up to their end tag, whatever it looks like.
 RAW = frozenset("iframe noembed noframes script style textarea title xmp".split())
 #: What a start tag ends when it is open above: tag -> (tags that it ends, tags that stop the search).
@@ -26,6 +35,7 @@ ENDS = {
 }
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+_ENDS = {tag: re.compile(rf"<(/{'?' if tag == 'noscript' else ''}){tag}\b", re.I) for tag in ENDED}
 _ATTRIBUTE = re.compile(r"([^\s=\"'/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _SPACES = re.compile(r"\s+")
@@ -78,9 +88,29 @@ def blocks(page: str) -> list[Block]:
             hidden -= tag in HIDDEN
         del stack[k:]
 
+    def leave_head() -> None:
+        """The head ends where something begins that may not stand in it, with a noscript that is open there."""
+        k = len(stack) - 1
+        if k > 0 and stack[k][0] == "noscript":
+            k -= 1
+        if k >= 0 and stack[k][0] == "head":
+            pop_to(k)
+
+    def ends_later(tag: str) -> bool:
+        """Whether an element's end tag is still to come; a noscript's before the next one."""
+        if tag in endless:
+            return False
+        m = _ENDS[tag].search(page, at)
+        if m is None:
+            endless.add(tag)
+        return m is not None and (tag != "noscript" or m[1] == "/")
+
+    endless: set[str] = set()
     while True:
         m = _TAG.search(page, at)
         text = page[at : m.start() if m else len(page)]
+        if hidden and stack[-1][0] == "head" and text.strip():
+            leave_head()
         if text and not hidden:
             parts.append(text)
             if links:
@@ -100,6 +130,13 @@ def blocks(page: str) -> list[Block]:
             if k is not None and not (tag in INLINE and any(x[0] not in INLINE for x in stack[k:])):
                 pop_to(k)
             continue
+        if hidden:
+            if tag not in IN_HEAD:
+                leave_head()
+            if tag in NOT_SVG:
+                k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in ("svg", "foreignobject")), None)
+                if k is not None and stack[k][0] == "svg":
+                    pop_to(k)
         if tag not in INLINE:
             # a block ends the paragraph and the inline elements that are still open
             k = len(stack)
@@ -114,7 +151,7 @@ def blocks(page: str) -> list[Block]:
                     if stack[k][0] in mine:
                         pop_to(k)
                         break
-        if tag in VOID or m[3].endswith("/") and tag in HIDDEN:
+        if tag in VOID or m[3].endswith("/") and tag in HIDDEN or tag in ENDED and not ends_later(tag):
             continue
         serial += 1
         stack.append((tag, _names(m[3]), serial))

@@ -539,6 +539,35 @@ def test_op10_blocks():
     assert html_blocks.blocks("") == html_blocks.blocks("<") [:0] == []
 
 
+def test_op10_blocks_without_optional_tags():
+    def texts(page):
+        return [b.text for b in html_blocks.blocks(page)]
+
+    for start in ("<html><head><title>T</title><meta charset=x><body>", "<head><title>T</title>", "<head><script>x</script><noscript><link href=x></noscript>", "<head><noscript><meta name=y>", "<title>T</title><style>p{}</style>"):
+        assert texts(start + "<p>one<p>two") == ["one", "two"], start
+        assert texts(start + "<a href=x>one</a> two") == ["one two"], start
+        assert texts(start + " one <div>two</div>") == ["one", "two"], start
+    assert texts("<head><template><p>no</template><title>T</title></head><p>one") == ["one"]
+    assert texts("<body><div><svg><path d=x><text>no<p>one</div><p>two") == ["one", "two"]
+    assert texts("<body><svg><foreignObject><p>no</p></foreignObject><text>no</text></svg><p>one") == ["one"]
+    assert texts("<body><object data=x><p>one</p><p>two") == ["one", "two"]
+    assert texts("<body><noscript><p>one</p><p>two<noscript><p>no</p></noscript><p>three") == ["one", "two", "three"]
+    assert texts("<body><object><p>no</p></object><noscript>no</noscript><p>one") == ["one"]
+    formula = "<math><semantics><mrow><mi>a</mi><mo>+</mo><mn>1</mn></mrow><annotation encoding=tex>\\no</annotation></semantics></math>"
+    assert texts(f"<article><p>so {formula} holds.</p></article>") == ["so a+1 holds."]
+
+
+def test_op10_main_text_without_head_end():
+    model = html_extract.trained()
+    some = 0
+    for seed in range(2 * 10**6, 2 * 10**6 + 30):
+        page, _ = html_pages.labelled_page(seed)
+        bare = page.replace("</head>", "").replace("</body>", "").replace("</html>", "")
+        assert bare != page and model.main_text(bare) == model.main_text(page)
+        some += bool(model.main_text(bare))
+    assert some == 30
+
+
 def test_op10_held_out_pages():
     model = html_extract.trained()
     blocks = wrong = 0
