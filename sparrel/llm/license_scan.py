@@ -1,9 +1,10 @@
 """Operator 3: license scans.
 
 Words are compared without the punctuation at their edges.  A template's text is cut into windows of
-1, 2, 4 .. 32 word shingles (the largest size that it has room for), a document's text into windows of
-the same sizes that overlap by seven eighths.  Windows with a MinHash band in common with a template's
-window retrieve the template.  With ``BANDS`` bands of ``ROWS`` hashes, windows that share 0.6 of their
+1, 2, 4 .. 32 word shingles (the largest size that it has room for), each document's text into windows of
+the same sizes that overlap by seven eighths; the last one ends with the text, and a shorter text is one
+window.  What matches in a text depends on that text alone.  Windows with a MinHash band in common with a
+template's window retrieve the template.  With ``BANDS`` bands of ``ROWS`` hashes, windows that share 0.6 of their
 shingles meet with a probability of 1 - (1 - 0.6**2)**16 > 0.999.  A retrieved template matches when the
 document holds 0.75 or more of its distinct 5-word shingles, counted exactly.
 
@@ -13,9 +14,10 @@ must show ``OWN`` of what sets it apart from the other, or the other stays alone
 in short phrases of up to six words ("under the MIT License") and SPDX lines match word by word; they are
 reported with one shingle, phrases only where no other match covers them.
 
-Null, empty or short text: no match.  Null doc_id: reported as null.  Repeated rows: each is
-reported.  Very long texts: windows are taken over the whole text.  Empty table: an empty result.
-Other columns are ignored.
+Null or empty text: no match.  Null doc_id: reported as null.  Repeated rows: each is reported.  Ties:
+of matches much alike that show the same of what sets them apart, the one with more shingles stays, then
+the one that comes first.  Very long texts: windows are taken over the whole text.  Empty table: an empty
+result.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from importlib import resources
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .encode import text_slices
@@ -37,12 +39,13 @@ SHINGLE, CONTAINED = 5, 75
 BANDS, ROWS, LONGEST = 16, 2, 32
 #: Places of the filter before a table of keys; a power of two.
 FILTER = 1 << 18
+#: Most characters of a library of templates, which every worker holds.
+MOST_TEMPLATE_CHARS = 1 << 26
 MATCHES = "doc_id long, license string, containment double, n_shared long, n_template long, first_word long, last_word long"
 #: The share, in percent, of the shingles that a match has and a better one much like it has not.
 OWN = 50
 
 
-
 def plain(text: str) -> str:
     """A text without the ASCII punctuation at the edges of its words, as it is compared."""
     return " ".join(w for w in (w.strip(string.punctuation) for w in text.split()) if w)
@@ -199,6 +202,29 @@ class Phrases:
                 yield p, size, owners[k]
 
 
+class Windows:
+    """The windows of ``size`` shingles in each of several texts, whose words begin at ``at``.
+
+    Each text has its own: they begin ``stride`` apart, the last one ends with the text, and a text of
+    fewer shingles is one window.  ``levels`` has, for each power of two, the windows that are as long as
+    that but not twice as long, and the first place of the first and of the last run of that length."""
+
+    def __init__(self, at: np.ndarray, size: int, stride: int):
+        held = np.maximum(np.diff(at) - SHINGLE + 1, 0)
+        spare = np.maximum(held - size, 0)
+        counts = np.where(held > 0, -(-spare // stride) + 1, 0)
+        self.text = np.repeat(np.arange(len(held)), counts)
+        nth = np.arange(len(self.text)) - np.repeat(np.cumsum(counts) - counts, counts)
+        first = at[:-1][self.text] + np.minimum(nth * stride, spare[self.text])
+        length = np.minimum(held, size)[self.text]
+        self.levels = []
+        step = 1
+        while step <= size:
+            some = np.flatnonzero((length >= step) & ((length < 2 * step) | (step == size)))
+            self.levels.append((some, first[some], first[some] + length[some] - step))
+            step *= 2
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str], names: dict[str, tuple[str, ...]] | None = None):
         self.names = list(templates)
@@ -223,7 +249,7 @@ class Scanner:
             for band in range(self._bands(size)):
                 keys, owners = [], []
                 for k, s in held:
-                    got = self._band(s, band, size)
+                    got = self._band(s, band, Windows(np.array([0, len(s) + SHINGLE - 1]), size, 1))
                     keys.append(got)
                     owners.append(np.full(len(got), k))
                 keys, owners = np.concatenate(keys), np.concatenate(owners)
@@ -237,38 +263,40 @@ class Scanner:
         return BANDS if size > 1 else 1
 
     @staticmethod
-    def _minima(shingles: np.ndarray, k: int, size: int) -> np.ndarray:
-        """Minima of hash k over every window of ``size`` shingles, by doubling."""
+    def _minima(shingles: np.ndarray, k: int, windows: Windows) -> np.ndarray:
+        """The minimum of hash k over each window: over its first and its last power of two, by doubling."""
         m = (shingles ^ _XOR[k]) * _MUL[k]
+        out = np.empty(len(windows.text), np.uint64)
         step = 1
-        while step < size:
+        for some, first, last in windows.levels:
+            if len(some):
+                out[some] = np.minimum(m[first], m[last])
             m = np.minimum(m[:-step], m[step:])
             step *= 2
-        return m
+        return out
 
-    def _band(self, shingles: np.ndarray, band: int, size: int, stride: int = 1) -> np.ndarray:
-        out = self._minima(shingles, band * ROWS, size)[::stride].copy()
+    def _band(self, shingles: np.ndarray, band: int, windows: Windows) -> np.ndarray:
+        out = self._minima(shingles, band * ROWS, windows)
         for k in range(band * ROWS + 1, (band + 1) * ROWS):
-            out = out * np.uint64(0x9E3779B97F4A7C15) + self._minima(shingles, k, size)[::stride]
+            out = out * np.uint64(0x9E3779B97F4A7C15) + self._minima(shingles, k, windows)
         return out ^ (out >> np.uint64(32))
 
     def _retrieve(self, every: np.ndarray, at: np.ndarray) -> list[tuple[int, int]]:
         """(text, template) that have a band in common."""
         found = [np.zeros(0, np.int64)]
         for size in self.sizes:
-            if len(every) < size:
+            windows = Windows(at, size, max(1, size // 8))
+            if not len(windows.text):
                 continue
-            stride = max(1, size // 8)
             for band in range(self._bands(size)):
                 keys, owners, seen = self.index[size, band]
-                got = self._band(every, band, size, stride)
+                got = self._band(every, band, windows)
                 here = np.flatnonzero(seen[(got & np.uint64(FILTER - 1)).astype(np.int64)])
                 low, high = np.searchsorted(keys, got[here], "left"), np.searchsorted(keys, got[here], "right")
                 n = high - low
-                some = np.repeat(owners[:0], 0) if not n.any() else owners[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
-                first = np.repeat(here * stride, n)
-                for place in (first, np.minimum(first + size - 1, len(every) - 1)):
-                    found.append(np.unique((np.searchsorted(at, place, "right") - 1) * len(self.names) + some))
+                if n.any():
+                    some = owners[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                    found.append(np.unique(np.repeat(windows.text[here], n) * len(self.names) + some))
         return [divmod(x, len(self.names)) for x in np.unique(np.concatenate(found)).tolist()]
 
     def _tell_apart(self, held: dict[int, np.ndarray]) -> None:
@@ -335,9 +363,25 @@ def _default() -> Scanner:
     return Scanner(TEMPLATES | NOTICES | whole_texts(), NAMES)
 
 
-def license_scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
+def template_table(spark: SparkSession) -> DataFrame:
+    """The library of templates as a table: license, text."""
+    rows = list((TEMPLATES | NOTICES | whole_texts()).items())
+    return spark.createDataFrame(rows, "license string, text string")
+
+
+def templates_of(table: DataFrame) -> dict[str, str]:
+    """A table of license and text on the driver; one of more than ``MOST_TEMPLATE_CHARS`` is refused."""
+    held = table.select("license", "text").where("license IS NOT NULL AND text IS NOT NULL")
+    if (held.agg(F.sum(F.char_length("text"))).first()[0] or 0) > MOST_TEMPLATE_CHARS:
+        raise ValueError(f"a library of templates has {MOST_TEMPLATE_CHARS} characters at most")
+    return {r["license"]: r["text"] for r in held.orderBy("license").collect()}
+
+
+def license_scan(docs: DataFrame, templates: dict[str, str] | DataFrame | None = None) -> DataFrame:
     """One row for each document and license text, notice, phrase or SPDX identifier that it holds;
-    with ``templates``, for each of these alone."""
+    with ``templates`` (a dictionary, or a table of license and text), for each of these alone."""
+    if isinstance(templates, DataFrame):
+        templates = templates_of(templates)
 
     def run(batches):
         scanner = Scanner(templates) if templates else _default()
