@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the contracts: space and U+0009..U+000D.
@@ -71,6 +71,16 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def all_columns(df: DataFrame) -> list[Column]:
+    """The columns of ``df``, of any name."""
+    return [F.col(quoted(c)) for c in df.columns]
+
+
 #: A key is hot when it holds more than one row in HOT_SHARE; there are at most HOT_SHARE such keys.
 HOT_SHARE = 1000
 
@@ -93,4 +103,4 @@ def join_by_key(left: DataFrame, groups: DataFrame, key: str, total: int, spread
     salt = F.when(F.col("_hk").isNull() & F.col(key).isNotNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(spread), F.lit(1 << 20)).cast("int") + 1)
     out = out.withColumn("_s", salt).join(cold.hint("merge"), (F.col(key) == F.col("_ck")) & (F.col("_s") == F.col("_cs")), "left")
     picked = [F.coalesce(F.col(f"_hv.{c}"), F.col(f"_cv.{c}")).alias(c) for c in values]
-    return out.select(*[left[c] for c in left.columns], *picked)
+    return out.select(*[left[quoted(c)] for c in left.columns], *picked)

@@ -1,0 +1,134 @@
+"""The digest index: its manifest, runs, writers and plans; and rows that are hard on exact dedup."""
+
+import hashlib
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from sparrel.llm import exact_dedup
+from sparrel.llm.exact_dedup import DigestIndex, IndexBusy
+
+
+def groups(spark, first, last):
+    rows = [(bytearray(hashlib.sha256(str(k).encode()).digest()), k) for k in range(first, last)]
+    return spark.createDataFrame(rows, "digest binary, keep_id long")
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_reopened_with_another_bucket_count(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    DigestIndex(spark, path, 8).append(groups(spark, 0, 200))
+    with pytest.raises(ValueError, match="8 buckets"):
+        DigestIndex(spark, path, 4)
+    index = DigestIndex(spark, path)
+    assert index.buckets == 8
+    assert index.absent(groups(spark, 0, 200)).count() == 0
+    assert index.absent(groups(spark, 100, 300)).count() == 100
+    index.append(groups(spark, 0, 200))
+    assert index.read().count() == 200
+    assert sorted(r["keep_id"] for r in index.known(groups(spark, 150, 250).drop("keep_id")).collect()) == [*range(150, 200)]
+
+
+def test_runs_are_neither_shuffled_nor_sorted(spark, tmp_path):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        index = DigestIndex(spark, f"file://{tmp_path}/index", 4)
+        for k in range(3):
+            index.append(groups(spark, 100 * k, 100 * k + 150))
+        assert len(index.runs()) == 3 and index.read().count() == 350
+        for df in (index.absent(groups(spark, 0, 500)), index.known(groups(spark, 0, 500).drop("keep_id"))):
+            plan = plan_of(df)
+            assert plan.count("SortMergeJoin") == 3 and plan.count("Exchange") == 1 and plan.count("Sort [") == 1, plan
+        for run in index.state["runs"]:
+            files = [f for f in (tmp_path / "index" / run).iterdir() if f.suffix == ".parquet"]
+            assert len(files) <= 4
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_runs_are_merged(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "MOST_RUNS", 2)
+    index = DigestIndex(spark, f"file://{tmp_path}/index", 4)
+    for k in range(5):
+        index.append(groups(spark, 10 * k, 10 * k + 20))
+        assert len(index.state["runs"]) <= 2
+    again = DigestIndex(spark, f"file://{tmp_path}/index")
+    assert sorted(r["keep_id"] for r in again.read().collect()) == [*range(60)]
+    again.vacuum()
+    assert {f.name for f in (tmp_path / "index").iterdir() if f.name.startswith("run_")} == {*again.state["runs"]}
+    assert again.read().count() == 60
+
+
+def test_a_second_writer_is_refused(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    one, two = DigestIndex(spark, path, 4), DigestIndex(spark, path, 4)
+    one._claim(1)
+    with pytest.raises(IndexBusy):
+        two.append(groups(spark, 0, 10))
+    two.release(1)
+    two.append(groups(spark, 0, 10))
+    one.append(groups(spark, 5, 15))  # sees what the other has committed
+    assert one.read().count() == 15
+    with pytest.raises(ValueError):
+        two.release(1)
+
+
+def test_a_failed_append_leaves_the_index(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    index = DigestIndex(spark, path, 4)
+    index.append(groups(spark, 0, 10))
+    bad = groups(spark, 0, 20).withColumn("keep_id", F.raise_error(F.lit("lost")).cast("long"))
+    with pytest.raises(Exception, match="lost"):
+        index.append(bad)
+    assert index.read().count() == 10
+    index.append(groups(spark, 0, 20))
+    assert DigestIndex(spark, path).read().count() == 20
+
+
+def test_rows_alike_in_many_places(spark):
+    """A third of all rows alike in doc_id and text, over many partitions; odd columns."""
+    rows = spark.range(60_000).repartition(7)
+    rows = rows.select(
+        F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id")).alias("doc_id"),
+        F.when(F.col("id") % 3 == 0, F.lit("hot  text")).when(F.col("id") % 3 == 1, F.lit("hot text")).otherwise(F.concat(F.lit("t"), F.col("id"))).alias("text"),
+        F.create_map(F.lit("a"), F.col("id")).alias("a.map"), F.lit(1).alias("keep_id"), F.lit(2).alias("digest"), F.lit(3).alias("with `tick"),
+    )
+    got = exact_dedup.exact_dedup(rows)
+    assert got.count() == 60_000
+    hot = got.where("group_size > 1")
+    assert hot.count() == 40_000 and hot.where("kept").count() == 1
+    assert hot.select("keep_id", "group_size").distinct().collect() == [(1, 40_000)]
+    kept = exact_dedup.keep_first(rows)
+    assert kept.columns == rows.columns and kept.count() == 20_001
+    alike = rows.where("doc_id = 5 AND text = 'hot  text'")
+    assert exact_dedup.exact_dedup(alike).where("kept").count() == 1
+    assert exact_dedup.keep_first(alike).count() == 1
+
+
+@pytest.mark.parametrize("batches", [1, 2, 5])
+def test_batches_change_nothing(spark, batches):
+    rows = spark.range(3000).selectExpr("if(id % 10 = 0, null, id * 7 % 3000) as doc_id", "concat('x', id % 700) as text")
+    want = Counter(map(tuple, exact_dedup.exact_dedup(rows, batches=1).collect()))
+    assert Counter(map(tuple, exact_dedup.exact_dedup(rows, batches=batches).collect())) == want
+    only_null = rows.selectExpr("cast(null as long) as doc_id", "text")
+    got = exact_dedup.exact_dedup(only_null, batches=batches).collect()
+    assert len(got) == 3000 and sum(g["kept"] for g in got) == 700 and {g["keep_id"] for g in got} == {None}
+
+
+def test_a_row_that_stays_comes_again_with_a_smaller_one(spark, tmp_path):
+    index = DigestIndex(spark, f"file://{tmp_path}/index", 4)
+    schema = "doc_id long, text string"
+    exact_dedup.exact_dedup(spark.createDataFrame([(9, "same")], schema), index).collect()
+    got = exact_dedup.exact_dedup(spark.createDataFrame([(3, "same"), (9, "same"), (9, "same")], schema), index).collect()
+    assert {(g["doc_id"], g["keep_id"]) for g in got} == {(3, 9), (9, 9)}
+    assert sum(g["kept"] for g in got) == 1 and [g["doc_id"] for g in got if g["kept"]] == [9]
+
+
+def test_very_long_text(spark):
+    rows = spark.createDataFrame([(1, "a b " * 1_000_000), (2, "a  b\t" * 1_000_000), (3, None)], "doc_id long, text string")
+    got = {g["doc_id"]: g["keep_id"] for g in exact_dedup.exact_dedup(rows).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
