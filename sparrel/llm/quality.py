@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, free_name, join_by_key, materialise
+from .common import WS, all_columns, free_name, join_by_key, materialise, quoted
 
 #: Fixed values of the base rule.
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
@@ -80,7 +80,7 @@ def measure(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn(l, F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{WS}]")))
     lines = free_name(docs, "n_lines")
     rows = rows.select(
-        *docs.columns,
+        *all_columns(docs),
         F.size(l).alias(lines),
         F.size(w).cast("long").alias("n_words"),
         F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"),
@@ -95,7 +95,7 @@ def measure(docs: DataFrame) -> DataFrame:
         (F.col("word_chars") < F.col("n_words") * SHORT_WORDS) | (F.col("word_chars") > F.col("n_words") * LONG_WORDS),
     )
     others = [F.when(F.col("n_words") >= MIN_WORDS, b).alias(r) for r, b in zip(RULES, broken, strict=True)]
-    return rows.select(*[c for c in rows.columns if c != lines], failed.alias("base_failed"), *others)
+    return rows.select(*[F.col(quoted(c)) for c in rows.columns if c != lines], failed.alias("base_failed"), *others)
 
 
 def beta_prior(hosts: DataFrame) -> tuple[float, float]:
@@ -146,7 +146,7 @@ def quality_report(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that stay, with the columns of ``docs``."""
-    bare = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text"), F.col("source"))
+    bare = docs.select(F.struct(*all_columns(docs)).alias("_row"), F.col("text"), F.col("source"))
     rows = materialise(measure(bare).select("_row", "source", "base_failed", *RULES), "measured")
     bad = judge_hosts(rows).where("rejected").select(F.col("host").alias("bad_host"))
     few = bad.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
