@@ -7,8 +7,9 @@ likelihood (forward-backward) and decoded by Viterbi.  The blocks labelled main
 line feeds.
 
 Null or empty html, or no main text: an empty text.  Null page_id or url: reported as null.  Repeated
-rows: each is extracted.  Very long pages: read as a whole.  Empty table: an empty result.  Other
-columns are ignored.
+rows: each is extracted.  Ties: of labellings that score the same, the one with the earlier label is taken.  Very
+long, deep or broken pages: read as a whole, in time that grows as the page does.  Empty table: an empty result.
+Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,26 +26,39 @@ from .html_pages import labelled_page
 
 #: Bound of the training sample, passes over it, step, and weight of the quadratic penalty.
 TRAINING_PAGES, PASSES, STEP, PENALTY = 1200, 6, 0.1, 1e-5
+#: Kinds of places in a page whose scores are kept.
+MOST_CONTEXTS = 1 << 16
 TEXTS = "page_id long, url string, text string, n_chars long"
 
 
+def context_features(b: Block) -> list[str]:
+    """Names of the features of the elements above a block."""
+    f = ["bias", f"tag={b.tag}", f"parent={b.parent}"]
+    f += [f"above={t}" for t in sorted(b.tags)]
+    return f + [f"name={w}" for w in sorted(b.names)]
+
+
+def text_kind(text: str, linked: int, edge: bool | None) -> tuple:
+    """What of a block's text and place counts: size, share of links, last and first sign, edge of the page."""
+    words = text.count(" ") + 1
+    size = words.bit_length() if words < 8 else 4 + (words >= 30)
+    return size, 4 * linked // len(text), text[-1] in '.!?:;…”"\'', text[0] in "©®|»›·", edge
+
+
+def text_features(kind: tuple) -> list[str]:
+    """Names of the features of a block's text and place."""
+    size, links, end, sign, edge = kind
+    return [f"words={size}", f"links={links}", f"end={end}", f"sign={sign}", *([] if edge is None else [f"edge={edge}"])]
+
+
+def text_kinds(row: list[Block]) -> list[tuple]:
+    n = len(row) - 1
+    return [text_kind(b.text, b.linked, k == 0 if k in (0, n) else None) for k, b in enumerate(row)]
+
+
 def features(row: list[Block]) -> list[list[str]]:
     """Names of the features that hold for each block."""
-    out = []
-    n = len(row)
-    for k, b in enumerate(row):
-        words = b.text.count(" ") + 1
-        size = min(5, words.bit_length() // 1 if words < 8 else 4 + (words >= 30))
-        f = ["bias", f"tag={b.tag}", f"words={size}", f"links={min(4, 4 * b.linked // max(1, len(b.text)))}"]
-        f.append(f"end={b.text[-1] in '.!?:;…”\"'}")
-        f += [f"above={t}" for t in set(b.above)]
-        f += [f"name={w}" for w in set(b.names)]
-        f.append(f"parent={b.above[-2] if len(b.above) > 1 else ''}")
-        f.append(f"sign={b.text[:1] in '©®|»›·'}")
-        if k == 0 or k == n - 1:
-            f.append(f"edge={k == 0}")
-        out.append(f)
-    return out
+    return [context_features(b) + text_features(k) for b, k in zip(row, text_kinds(row), strict=True)]
 
 
 class BlockModel:
@@ -52,31 +66,50 @@ class BlockModel:
 
     def __init__(self, names: dict[str, int], weights: np.ndarray, moves: np.ndarray):
         self.names, self.weights, self.moves = names, weights, moves
-
-    def scores(self, row: list[Block]) -> np.ndarray:
-        known = self.names
-        return np.array([self.weights[[known[x] for x in f if x in known]].sum(axis=0) for f in features(row)])
+        self.weight = dict(zip(names, weights.tolist(), strict=True))
+        #: The tags and words of classes that the model has weights for; others change nothing.
+        self.known = tuple(frozenset(x[len(kind) :] for x in names if x.startswith(kind)) for kind in ("above=", "name="))
+        self.contexts: dict[tuple, tuple[float, float]] = {}
+        self.kinds: dict[tuple, tuple[float, float]] = {}
+
+    def _sum(self, names: list[str]) -> tuple[float, float]:
+        held = [self.weight[x] for x in names if x in self.weight]
+        return sum(x for x, _ in held), sum(y for _, y in held)
+
+    def scores(self, row: list[Block]) -> list[tuple[float, float]]:
+        """Of each label for each block; sums are kept for elements alike and for texts alike."""
+        if len(self.contexts) > MOST_CONTEXTS:
+            self.contexts.clear()
+        contexts, kinds, out = self.contexts, self.kinds, []
+        for b, kind in zip(row, text_kinds(row), strict=True):
+            key = b.tag, b.parent, b.tags, b.names
+            if (above := contexts.get(key)) is None:
+                above = contexts[key] = self._sum(context_features(b))
+            if (text := kinds.get(kind)) is None:
+                text = kinds[kind] = self._sum(text_features(kind))
+            out.append((above[0] + text[0], above[1] + text[1]))
+        return out
 
     def decode(self, row: list[Block]) -> list[int]:
         """The best labels, by Viterbi."""
         if not row:
             return []
-        s, m = self.scores(row).tolist(), self.moves.tolist()
+        s, m = self.scores(row), self.moves.tolist()
+        (m00, m01), (m10, m11) = m
         a, b, back = s[0][0], s[0][1], []
         for x, y in s[1:]:
-            from0 = a + m[0][0] >= b + m[1][0]
-            from1 = a + m[0][1] >= b + m[1][1]
-            back.append((0 if from0 else 1, 0 if from1 else 1))
-            a, b = (a + m[0][0] if from0 else b + m[1][0]) + x, (a + m[0][1] if from1 else b + m[1][1]) + y
+            to0, other0, to1, other1 = a + m00, b + m10, a + m01, b + m11
+            back.append((to0 < other0, to1 < other1))
+            a, b = (to0 if to0 >= other0 else other0) + x, (to1 if to1 >= other1 else other1) + y
         label = 0 if a >= b else 1
         out = [label]
         for step in reversed(back):
-            label = step[label]
+            label = int(step[label])
             out.append(label)
         return out[::-1]
 
     def main_text(self, page: str) -> str:
-        row = blocks(page)
+        row = blocks(page, self.known)
         return "\n".join(b.text for b, label in zip(row, self.decode(row), strict=True) if label)
 
 
