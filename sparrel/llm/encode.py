@@ -2,7 +2,9 @@
 
 Both vocabularies start a new pre-token where white space follows other text, so the ids of a
 text are the ids of its chunks, joined.  Chunks repeat a lot; each worker keeps the ids of
-those it has seen in a cache of bounded size.  A chunk is never cut.
+those it has seen in a cache of bounded size.  A chunk is never cut.  Special tokens that stand in
+a text (``<|endoftext|>``) have their own ids, as in the library's plain call; they hold no white space and
+begin with a sign that no chunk begins after, so they are never cut either.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ CHUNKS = {
 }
 
 #: Characters of text in the cache; beyond it the cache starts anew.
-CACHE_CHARS = 12_000_000
+CACHE_CHARS = 8_000_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -123,7 +125,6 @@ class ChunkEncoder(ChunkCache):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model_ids = self.tokenizer.model.tokenize
         self.keeps_space = kind == "byte"
         self.spelling = _byte_letters()
