@@ -5,7 +5,8 @@ one more shard takes rows only into itself.  The generator key * 286293355577794
 2**64 is worked on two halves of 32 bits, so that no product overflows under ANSI arithmetic.
 
 Null text: size 1 and the crc of nothing.  Null doc_id: the text's crc is the key.  Repeated
-rows: all in one shard, in slots that follow one another.  Other columns are ignored.
+rows (ties): all in one shard, in slots that follow one another, whichever first.  Very long texts: only their
+size and crc are used.  Empty table: an empty result.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import Window
 
 from .common import free_name
 
-#: The multiplier of the generator and the buckets that slots are counted in.
+#: The multiplier of the generator, and the buckets that slots are counted in by default.
 MULTIPLIER = 2862933555777941757
 SLOT_BUCKETS = 256
 _LOW = 0xFFFFFFFF
@@ -49,21 +50,26 @@ def jump_hash(key: Column, shards: int) -> tuple[Column, Column]:
         moved = F.struct(high.alias("high"), low.alias("low"), s["next"].alias("bucket"), F.floor((s["next"] + F.lit(1)).cast("double") * ratio).cast("long").alias("next"))
         return F.when(s["next"] < F.lit(shards), moved).otherwise(s)
 
-    end = F.aggregate(F.sequence(F.lit(1), F.lit(shards)), state, jump)
+    # a key jumps about ln(shards) times and hardly ever more than ``most``; the rest of the way is for those that do
+    most = min(shards, 16 + 4 * shards.bit_length())
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(most)), state, jump)
+    if most < shards:
+        last = F.sequence(F.lit(most + 1), F.lit(shards))
+        end = F.transform(F.array(end), lambda s: F.when(s["next"] >= F.lit(shards), s).otherwise(F.aggregate(last, s, jump)))[0]
     return end["bucket"].cast("int"), F.when(end["next"] == F.lit(shards), F.lit(shards)).otherwise(end["bucket"]).cast("int")
 
 
-def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 16, slot_buckets: int = SLOT_BUCKETS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row.
 
     Slots are counted in two steps: rows of each (shard, bucket of doc_id and text), then a running
-    sum over those shards * SLOT_BUCKETS counts, a table of fixed size.  No shard meets in one task,
+    sum over those shards * ``slot_buckets`` (a power of two) counts, a table of fixed size.  No shard meets in one task,
     nor do the rows of one doc_id or of one text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id"), (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     rows = rows.withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.col("text_crc32")))
     bucket, grown = jump_hash(F.col("key"), shards)
-    rows = rows.withColumn("b", F.col("key").bitwiseXOR(F.col("text_crc32")).bitwiseAND(F.lit(SLOT_BUCKETS - 1)).cast("int"))
+    rows = rows.withColumn("b", F.col("key").bitwiseXOR(F.col("text_crc32")).bitwiseAND(F.lit(slot_buckets - 1)).cast("int"))
     rows = rows.withColumn("j", F.struct(bucket.alias("shard"), grown.alias("grown_shard")))
     rows = rows.select("doc_id", "size", "text_crc32", "b", "j.shard", "j.grown_shard")
     counts = rows.groupBy("shard", "b").agg(F.count(F.lit(1)).alias("n"))
