@@ -11,7 +11,8 @@ without a piece become their UTF-8 bytes.
 No piece crosses from text into a space, so a text is encoded by the chunks that begin with its runs
 of spaces; ids of chunks are cached, up to a fixed size.
 
-Null or empty text: no ids.  Null doc_id: reported as null.  Repeated rows: each is encoded.  Decoding
+Null or empty text: no ids.  Null doc_id: reported as null.  Repeated rows: each is encoded.  Ties: of
+segmentations with the same sum, the one found first.  Very long texts: encoded whole, chunk by chunk.  Decoding
 gives the text back, except that U+2581, the mark for a space, comes back as a space.  Empty table:
 an empty result.  Other columns are ignored.
 """

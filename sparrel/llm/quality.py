@@ -10,7 +10,8 @@ Documents of a host whose shrunk rate is above ``HOST_RATE`` under any of the ru
 that fail the base rule themselves.
 
 Null text: no words, which fails the base rule.  Null host: a host of its own.  Repeated rows: each
-is measured and counted.  Empty table: an empty result.  Other columns pass through the filter and
+is measured and counted.  Ties: a rate of just ``HOST_RATE`` is not above it.  Very long texts: measured whole, in
+one row, with the memory of their words.  Empty table: an empty result.  Other columns pass through the filter and
 are ignored by the report.
 """
 

@@ -12,7 +12,8 @@ leaves no half-written file, and any store that Spark reads will do.  Rows of th
 ascending (doc_id, hash of the text): partition by partition, segment by segment.
 
 Null or empty text: no ids but the end id.  Null doc_id: first.  Repeated doc_ids or rows: each is
-a document of its own.  Empty table: an empty file.  Other columns are ignored.
+a document of its own, ties in the order of their texts' hashes.  Very long texts: encoded whole, in a segment
+of their own size.  Empty table: an empty file.  Other columns are ignored.
 """
 
 from __future__ import annotations
