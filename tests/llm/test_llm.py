@@ -381,7 +381,7 @@ def test_op6_edits_anywhere():
             t.edit(a, b, new)
             assert t.text == want
             assert t.n_tokens == len(ids_of(want))
-            assert t.chars.total == len(want)
+            assert t.n_chars == len(want)
 
 
 def test_op7_sharding(spark, docs, empty, tmp_path):
