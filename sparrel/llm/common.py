@@ -104,3 +104,16 @@ def join_by_key(left: DataFrame, groups: DataFrame, key: str, total: int, spread
     out = out.withColumn("_s", salt).join(cold.hint("merge"), (F.col(key) == F.col("_ck")) & (F.col("_s") == F.col("_cs")), "left")
     picked = [F.coalesce(F.col(f"_hv.{c}"), F.col(f"_cv.{c}")).alias(c) for c in values]
     return out.select(*[left[quoted(c)] for c in left.columns], *picked)
+
+
+#: Rows of a few numbers that one task may hold of one key, whatever the number of machines.
+ONE_TASK = 1_000_000
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, spread, total: int) -> DataFrame:
+    """Left outer join of a written table of ``total`` rows with one row per key, whose hot keys are split.  A table
+    of at most ``ONE_TASK`` rows cannot have a key that one task doesn't hold, and is joined as it is."""
+    if total <= ONE_TASK:
+        return left.join(right, key, "left")
+    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"))
+    return join_by_key(left, right.join(counts, key), key, total, spread).drop("n_rows")

@@ -13,12 +13,18 @@ like it (128 minima of 4 bits each) in another component, the links are confirme
 components grow; only buckets that hold several components go on.  What is left after
 ``ROUNDS`` is small, and there all pairs of different components that look similar enough are confirmed,
 bucket by bucket in memory: the nodes that take part in such pairs are sent with their sets, never the
-pairs (buckets of over ``BLOCK`` nodes in blocks, each pair of blocks on its own).
+pairs.  A pair looks similar when its sketches agree in ``LEAST_AGREE`` places, or when its signatures differ in
+``MOST_DIFFER`` places at most: no pair that the pigeonhole guarantees is refused.  In a bucket of over ``BLOCK``
+nodes, the largest component is met by the blocks of all others, never by itself.
+
+Nodes are numbered where their table is written, so no two have one number; joins whose keys may be hot
+(buckets, centres, components) are split by ``join_by_key``.
 
 Null or empty text, or no words: an empty set, linked with nothing.  Null doc_id: a document of no
 group, kept.  Repeated rows, or texts of one doc_id: nodes go by their sets, so rows alike are one
-class; a component's id is its smallest doc_id.  Empty table: an empty result.  Other columns are
-ignored by the report and kept by the filter.
+class, and texts of one doc_id are told apart by their hashes; a component's id is its smallest doc_id.  Ties: of
+equal partners any one is proposed, which changes no component.  Very long texts: whole, in one task.  Empty
+table: an empty result.  Other columns are ignored by the report and kept by the filter.
 """
 
 from __future__ import annotations
@@ -27,10 +33,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, join_by_key, materialise
+from .common import all_columns, drop_table, free_name, hot_join, join_by_key, materialise
 from .encode import forget, text_slices
 from .shingles import mix, text_shingles
 
@@ -40,12 +46,17 @@ HASHES = 128
 #: Least agreeing places of the 128 (of 4 bits) for a pair to be looked at: sets at 0.75 agree in 98
 #: on average and in fewer than this about 3 times in 100,000.
 LEAST_AGREE = 77
+#: Places of the signature in which a pair may differ and meets under some key for certain.
+MOST_DIFFER = 2 * CHUNKS - 1
 ROUNDS = 2
-BLOCK = 1024
+#: Nodes of a block, and blocks of a bucket before blocks grow to ``LARGEST`` times that.
+BLOCK, BLOCKS, LARGEST = 1024, 64, 16
 #: Shingles of a block's nodes, by which a bucket of long texts is cut into more blocks.
 BLOCK_SHINGLES = 4_000_000
 #: Nodes whose texts are picked by a broadcast of their ids; beyond it by a sort-merge join.
 BROADCAST_IDS = 1_000_000
+#: Pairs of nodes that are compared at once.
+PAIRS_AT_ONCE = 1 << 18
 #: Edges of a centre that are confirmed in one task.
 EDGES_AT_ONCE = 500
 
@@ -53,7 +64,7 @@ _rng = np.random.default_rng(0xD1CE)
 _XOR = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 _MUL = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _KEY = _rng.integers(0, 1 << 63, (CHUNKS, SYMBOLS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SIGNED = "node long, digest binary, n_shingles long, signature binary, doc_id long"
+_SIGNED = "digest binary, n_shingles long, signature binary, doc_id long, text_hash long"
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
@@ -80,27 +91,44 @@ def sketch(signature: np.ndarray) -> np.ndarray:
     return (low[:, ::2] | (low[:, 1::2] << 4)).view(np.uint64)
 
 
-def disagree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Places in which sketches differ."""
+_ONES = np.uint64(0x1111111111111111)
+#: Of a sketch, the words that hold places of the signature, and the places of the last of these.
+_WORDS, _REST = divmod(CHUNKS * SYMBOLS, 16)
+_REST_ONES = _ONES & np.uint64((1 << (4 * _REST)) - 1)
+
+
+def agree(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in which sketches agree: of all, and of those of the signature."""
     x = a ^ b
     x |= x >> np.uint64(1)
     x |= x >> np.uint64(2)
-    return np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(axis=-1, dtype=np.int32)
+    differ = np.bitwise_count(x & _ONES)
+    signature = differ[..., :_WORDS].sum(axis=-1, dtype=np.int32) + np.bitwise_count(x[..., _WORDS] & _REST_ONES)
+    return HASHES - differ.sum(axis=-1, dtype=np.int32), CHUNKS * SYMBOLS - signature
+
+
+def near_enough(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether signatures differ in MOST_DIFFER places at most."""
+    n = CHUNKS * SYMBOLS
+    return (a[:, :n] == b[:, :n]).sum(axis=1) >= n - MOST_DIFFER
+
+
+def _digest(s: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(s, digest_size=16).digest() if len(s) else None
 
 
 def _sign(batches):
     forget()
     for batch in batches:
-        texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
+        texts, ids, hashes = (batch.column(c).to_pylist() for c in ("text", "doc_id", "text_hash"))
         for a, b in text_slices(texts):
             sets = [np.unique(s) for s in text_shingles(texts[a:b], SHINGLE)]
             full = [s for s in sets if len(s)]
             signs = iter(signatures(full).view(np.uint8).reshape(len(full), -1)) if full else iter(())
-            digests = [hashlib.blake2b(s, digest_size=16).digest() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_pydict({
-                "node": pa.array([None if d is None else int.from_bytes(d[:8], "little", signed=True) for d in digests], pa.int64()),
-                "digest": pa.array(digests, pa.binary()), "n_shingles": pa.array(list(map(len, sets)), pa.int64()),
-                "signature": pa.array([next(signs).tobytes() if len(s) else None for s in sets], pa.binary()), "doc_id": pa.array(ids[a:b], pa.int64()),
+                "digest": pa.array(list(map(_digest, sets)), pa.binary()), "n_shingles": pa.array(list(map(len, sets)), pa.int64()),
+                "signature": pa.array([next(signs).tobytes() if len(s) else None for s in sets], pa.binary()),
+                "doc_id": pa.array(ids[a:b], pa.int64()), "text_hash": pa.array(hashes[a:b], pa.int64()),
             })
 
 
@@ -116,11 +144,19 @@ def _keys(batches):
 
 
 def _sets(batches):
+    """The sets of the nodes that are asked for, once for each task, of texts that have the node's digest."""
+    seen: set[int] = set()
     for batch in batches:
-        texts, nodes = batch.column("text").to_pylist(), batch.column("node").to_pylist()
+        texts, nodes, digests = (batch.column(c).to_pylist() for c in ("text", "node", "digest"))
         for a, b in text_slices(texts):
-            sets = [np.unique(s).tobytes() for s in text_shingles(texts[a:b], SHINGLE)]
-            yield pa.RecordBatch.from_pydict({"node": pa.array(nodes[a:b], pa.int64()), "set": pa.array(sets, pa.binary())})
+            names, sets = [], []
+            for node, digest, s in zip(nodes[a:b], digests[a:b], text_shingles(texts[a:b], SHINGLE), strict=True):
+                s = np.unique(s)
+                if node not in seen and _digest(s) == digest:
+                    seen.add(node)
+                    names.append(node)
+                    sets.append(s.tobytes())
+            yield pa.RecordBatch.from_pydict({"node": pa.array(names, pa.int64()), "set": pa.array(sets, pa.binary())})
 
 
 def _shared(a: np.ndarray, b: np.ndarray) -> int:
@@ -150,41 +186,55 @@ def _confirm(batches):
 
 
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar.  A centre's pairs are dealt to several tasks, each
-    with the centre's set, when there are many."""
-    pairs = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(64)).cast("int"))
-    teams = pairs.groupBy("a").agg(F.least(F.lit(64), F.ceil(F.count(F.lit(1)) / EDGES_AT_ONCE)).cast("int").alias("teams"))
+    """The pairs (a, b) of a written table whose full sets are similar; b is in one pair.  A centre's pairs are dealt
+    to as many tasks as they need, each with the centre's set."""
+    teams = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / EDGES_AT_ONCE).cast("int").alias("teams"))
     teams = materialise(teams, "teams")
-    pairs = pairs.join(teams, "a").withColumn("team", F.pmod("part", F.col("teams"))).select("a", "b", "team")
+    dealt = hot_join(pairs, teams, "a", "b", pairs.count()).withColumn("team", F.pmod(F.xxhash64("b"), F.col("teams")).cast("int")).select("a", "b", "team")
     centres = teams.select("a", F.lit(None).cast("long").alias("b"), F.explode(F.sequence(F.lit(0), F.col("teams") - 1)).alias("team"))
-    rows = pairs.join(sets, F.col("b") == F.col("node")).select("a", "b", "team", "set")
+    rows = dealt.join(sets, F.col("b") == F.col("node")).select("a", "b", "team", "set")
     rows = rows.unionByName(centres.join(sets, F.col("a") == F.col("node")).select("a", "b", "team", "set"))
     rows = rows.repartition("a", "team").sortWithinPartitions("a", "team", F.col("b").asc_nulls_first()).select("a", "b", "set")
-    return rows.mapInArrow(_confirm, "a long, b long")
+    found = materialise(rows.mapInArrow(_confirm, "a long, b long"), "found")
+    drop_table(teams)
+    return found
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, comp of every node in ``links``: least labels, with pointer jumping, until nothing changes."""
+    """node, comp of every node in ``links``: least labels, with pointer jumping, until nothing changes.
+    Labels at least halve their distance in each round, so there are about as many as the number of nodes has digits."""
     links = materialise(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
     labels = materialise(links.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("l")), "labels")
+    n_links, n_labels = links.count(), labels.count()
     while True:
-        near = links.join(labels.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("l").alias("m"))
+        near = hot_join(links, labels.withColumnRenamed("a", "b"), "b", "a", n_links).groupBy("a").agg(F.min("l").alias("m"))
         moved = labels.join(near, "a").select("a", F.col("l").alias("old"), F.least("l", "m").alias("l"))
         moved = materialise(moved, "moved")
         jump = labels.select(F.col("a").alias("l"), F.col("l").alias("ll"))
-        labels = materialise(moved.join(jump, "l").select("a", F.least("l", "ll").alias("l"), "old"), "labels")
+        jumped = materialise(hot_join(moved, jump, "l", "a", n_labels).select("a", F.least("l", "ll").alias("l"), "old"), "labels")
+        drop_table(moved)
+        drop_table(labels)
+        labels = jumped
         if not labels.where("l <> old").limit(1).count():
+            drop_table(links)
             return labels.select(F.col("a").alias("node"), F.col("l").alias("comp"))
-        labels = labels.drop("old")
+        labels = labels.select("a", "l")
 
 
 def grow(comps: DataFrame, links: DataFrame) -> DataFrame:
-    """Components after more links."""
-    c = comps.select(F.col("node"), F.col("comp"))
-    ends = links.join(c.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a").join(c.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b")
-    ends = ends.where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
-    found = components(ends).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
-    return materialise(comps.join(found, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "comps")
+    """Components after more links; the tables of both are given up."""
+    n = links.count()
+    if not n:
+        return comps
+    ends = hot_join(links, comps.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "b", n)
+    ends = materialise(ends.select("b", "ca"), "ends")
+    both = hot_join(ends, comps.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "ca", n)
+    both = both.where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
+    found = components(both).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+    grown = materialise(hot_join(comps, found, "comp", "node", comps.count()).select("node", F.coalesce("to", "comp").alias("comp")), "comps")
+    for t in (ends, found, links, comps):
+        drop_table(t)
+    return grown
 
 
 def _canonical(sa: np.ndarray, sb: np.ndarray) -> np.ndarray:
@@ -206,15 +256,22 @@ def _pairs_of(unit: dict, every: bool):
     rank = np.full(len(node), -1)
     rank[small] = np.arange(len(small))
     two = unit["u"] != unit["v"]
-    for k in range(0, len(small), 128):
-        rows = small[k : k + 128]
-        agree = HASHES - disagree(looks[rows][:, None], looks[None])
-        ok = (agree >= LEAST_AGREE) & (inverse[rows][:, None] != inverse[None])
+    step = max(1, PAIRS_AT_ONCE // len(node))
+    for k in range(0, len(small), step):
+        rows = small[k : k + step]
+        same, signed = agree(looks[rows][:, None], looks[None])
+        ok = inverse[rows][:, None] != inverse[None]
         ok &= 100 * np.minimum(size[rows][:, None], size[None]) >= SIMILARITY * np.maximum(size[rows][:, None], size[None])
         if two:
             ok &= block[rows][:, None] != block[None]
         if every:
             ok &= rank[None] < rank[rows][:, None]
+        # what looks unlike but may be near enough by the signature is measured by it
+        i, j = np.nonzero(ok & (same < LEAST_AGREE) & (signed >= CHUNKS * SYMBOLS - MOST_DIFFER))
+        ok &= same >= LEAST_AGREE
+        if len(i):
+            ok[i, j] = near_enough(signs[rows[i]], signs[j])
+        if every:
             i, j = np.nonzero(ok)
             i = rows[i]
             if len(i):
@@ -222,9 +279,9 @@ def _pairs_of(unit: dict, every: bool):
                 i, j = i[first], j[first]
             yield i, j, np.zeros(len(i), np.int32)
         else:
-            agree = np.where(ok, agree, -1)
-            j = agree.argmax(axis=1)
-            best = agree[np.arange(len(rows)), j]
+            same = np.where(ok, same, -1)
+            j = same.argmax(axis=1)
+            best = same[np.arange(len(rows)), j]
             rows, j, best = rows[best >= 0], j[best >= 0], best[best >= 0]
             yield rows, j, best.astype(np.int32)
 
@@ -308,26 +365,46 @@ def _confirm_unit(unit):
         yield pa.RecordBatch.from_pydict({"a": unit["node"][x], "b": unit["node"][y]})
 
 
-def _open_units(members: DataFrame, comps: DataFrame, signs: DataFrame) -> DataFrame:
-    """Rows of the buckets that hold several components, dealt into units of two blocks at most."""
-    rows = materialise(members.join(comps.join(signs.select("node", "n_shingles"), "node"), "node"), "members")
-    open_ = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s")).where("lo <> hi")
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
-    open_ = materialise(open_.select("key", blocks.alias("blocks")), "open")
-    rows = rows.drop("n_shingles").join(open_, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.join(signs, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", "slot", F.least("block", "other").alias("u"), F.greatest("block", "other").alias("v"), "node", "comp", "block", "n_shingles", "signature")
-    return rows.repartition("key", "u", "v").sortWithinPartitions("key", "u", "v")
+def _blocks(n: str, s: str) -> Column:
+    """Blocks for n nodes with s shingles."""
+    few = F.least(F.ceil(F.col(n) / BLOCK), F.lit(BLOCKS))
+    return F.greatest(few, F.ceil(F.col(n) / (BLOCK * LARGEST)), F.ceil(F.col(s) / BLOCK_SHINGLES)).cast("int")
 
 
-def propose(members: DataFrame, comps: DataFrame, signs: DataFrame) -> DataFrame:
+def _open_units(members: DataFrame, comps: DataFrame, signs: DataFrame) -> DataFrame | None:
+    """Rows of the buckets that hold several components, dealt into units of two blocks at most; None when no
+    bucket does.
+
+    A bucket that is no larger than a block is one unit.  Of others, the nodes outside the largest component
+    make blocks that meet each other and the blocks of the largest component, which never meet themselves."""
+    rows = materialise(members.join(comps.join(signs.select("node", "n_shingles"), "node"), "node"), "members")
+    sizes = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
+    open_ = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.sum("n").alias("n_rows"), F.sum("s").alias("s"), F.max(F.struct("n", "s", "comp")).alias("top")).where("comps > 1")
+    open_ = open_.select("key", "n_rows", "s", F.col("top.comp").alias("top"), F.col("top.n").alias("n_top"), F.col("top.s").alias("s_top"))
+    open_ = open_.withColumns({"n_rest": F.col("n_rows") - F.col("n_top"), "s_rest": F.col("s") - F.col("s_top")})
+    one = _blocks("n_rows", "s") == 1
+    rest, top = F.when(one, 0).otherwise(_blocks("n_rest", "s_rest")), F.when(one, 0).otherwise(_blocks("n_top", "s_top"))
+    open_ = materialise(open_.select("key", "n_rows", "top", rest.alias("rest_blocks"), top.alias("top_blocks")), "open")
+    if open_.isEmpty():
+        return None
+    dealt = join_by_key(rows.drop("n_shingles"), open_, "key", rows.count(), "node").where("n_rows IS NOT NULL")
+    in_top = F.col("comp") == F.col("top")
+    mine = F.when(F.col("rest_blocks") == 0, 0).when(in_top, F.col("rest_blocks") + F.pmod(F.xxhash64("node"), F.col("top_blocks"))).otherwise(F.pmod(F.xxhash64("node"), F.col("rest_blocks")))
+    last = F.when(F.col("rest_blocks") == 0, 0).when(in_top, F.col("rest_blocks") - 1).otherwise(F.col("rest_blocks") + F.col("top_blocks") - 1)
+    dealt = dealt.select("key", "slot", "node", "comp", mine.cast("int").alias("block"), last.cast("int").alias("last"))
+    dealt = dealt.join(signs, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    dealt = dealt.select("key", "slot", F.least("block", "other").alias("u"), F.greatest("block", "other").alias("v"), "node", "comp", "block", "n_shingles", "signature")
+    return dealt.repartition("key", "u", "v").sortWithinPartitions("key", "u", "v")
+
+
+def propose(units: DataFrame) -> DataFrame:
     """For each node outside the largest component of an open bucket, the nearest of another: a, b, agree."""
-    return _open_units(members, comps, signs).mapInArrow(_units(_nearest), "a long, b long, agree int")
+    return units.mapInArrow(_units(_nearest), "a long, b long, agree int")
 
 
-def settle(members: DataFrame, comps: DataFrame, signs: DataFrame, sets: DataFrame) -> DataFrame:
+def settle(units: DataFrame, signs: DataFrame, sets: DataFrame) -> DataFrame:
     """Links a, b out of all similar-looking pairs of different components in open buckets."""
-    some = _open_units(members, comps, signs).mapInArrow(_units(_partakers), "key long, slot byte, u int, v int, node long, comp long, block int")
+    some = units.mapInArrow(_units(_partakers), "key long, slot byte, u int, v int, node long, comp long, block int")
     some = materialise(some, "partakers").join(signs, "node").join(sets, "node")
     return some.repartition("key", "u", "v").sortWithinPartitions("key", "u", "v").mapInArrow(_units(_confirm_unit), "a long, b long")
 
@@ -336,60 +413,80 @@ def _agree_of(batches):
     for batch in batches:
         n = batch.num_rows
         if n:
-            looks = [sketch(np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(n, HASHES)) for c in ("sa", "sb")]
-            agree = HASHES - disagree(*looks)
-            yield pa.RecordBatch.from_pydict({"a": batch.column("a"), "b": batch.column("b"), "agree": pa.array(agree, pa.int32())})
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(n, HASHES) for c in ("sa", "sb"))
+            same, _ = agree(sketch(a), sketch(b))
+            ok = (same >= LEAST_AGREE) | near_enough(a, b)
+            yield pa.RecordBatch.from_pydict({"a": batch.column("a").filter(pa.array(ok)), "b": batch.column("b").filter(pa.array(ok)), "agree": pa.array(same[ok], pa.int32())})
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
 
 
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (node, digest, n_shingles, doc_id) and classes (digest, node, n_shingles, signature, rep, n_rows)."""
-    signed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_sign, _SIGNED)
-    signed = materialise(signed, "signed")
+    """Rows (digest, n_shingles, doc_id, text_hash) and classes (node, digest, n_shingles, signature, rep, n_rows)."""
+    signed = materialise(_texts(docs).mapInArrow(_sign, _SIGNED), "signed")
     rows = signed.drop("signature")
-    some = signed.where("node IS NOT NULL AND doc_id IS NOT NULL")
+    some = signed.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     classes = some.groupBy("digest").agg(
-        F.first("node").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_rows")
+        F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.count(F.lit(1)).alias("n_rows")
     )
-    return rows, materialise(classes, "classes")
+    # numbers that are unique in the table as it is written, at any size
+    return rows, materialise(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+
+
+def _node_sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, set of the nodes, each once, from one text of each."""
+    few = nodes.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    picked = classes.join(nodes, "node", "left_semi").select("rep.doc_id", "rep.text_hash", "node", "digest")
+    texts = _texts(docs).join(F.broadcast(picked) if few else picked, ["doc_id", "text_hash"]).select("node", "digest", "text")
+    sets = materialise(texts.mapInArrow(_sets, "node long, set binary"), "sets")
+    if sets.groupBy("node").count().where("count > 1").limit(1).count():  # rows alike, in several tasks
+        sets = materialise(sets.groupBy("node").agg(F.first("set").alias("set")), "sets")
+    return sets
 
 
 def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows as above, and digest, n_rows, component_id of every class."""
+    """Rows as above, and digest, n_rows, component_id, keep_hash of every class: the smallest doc_id of its
+    component, and the hash of that row's text."""
     rows, classes = _classes(docs)
     signs = classes.select("node", "n_shingles", "signature")
     keys = signs.select("node", "signature").mapInArrow(_keys, "key long, slot byte, node long")
-    buckets = keys.groupBy("key").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = materialise(buckets.select("key", "centre"), "buckets")
-    members = materialise(keys.join(buckets, "key"), "members")
+    buckets = keys.groupBy("key").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n_rows")).where("n_rows > 1")
+    buckets = materialise(buckets, "buckets")
+    members = join_by_key(keys, buckets, "key", CHUNKS * SYMBOLS * classes.count(), "node").where("n_rows IS NOT NULL")
+    members = materialise(members.drop("n_rows"), "members")
     nodes = materialise(members.select("node").distinct(), "nodes")
-    few = nodes.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-
-    picked = classes.join(nodes, "node", "left_semi").select(F.col("rep").alias("doc_id"), "node", "digest")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = texts.join(F.broadcast(picked) if few else picked, "doc_id").select("node", "text")
-    sets = texts.mapInArrow(_sets, "node long, set binary")
-    sets = materialise(sets, "sets")
-
-    comps = nodes.withColumn("comp", F.col("node"))
-    stars = members.where("centre <> node").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    sa = signs.select(F.col("node").alias("a"), F.col("signature").alias("sa"))
-    sb = signs.select(F.col("node").alias("b"), F.col("signature").alias("sb"))
-    stars = stars.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb").mapInArrow(_agree_of, "a long, b long, agree int")
-    best = stars.where(F.col("agree") >= LEAST_AGREE).groupBy("b").agg(F.max(F.struct("agree", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-    comps = grow(comps, materialise(confirm(materialise(best, "pairs"), sets), "found"))
+    sets = _node_sets(docs, classes, nodes)
+
+    comps = materialise(nodes.withColumn("comp", F.col("node")), "comps")
+    stars = materialise(members.where("centre <> node").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    looks = hot_join(stars, signs.select(F.col("node").alias("a"), F.col("signature").alias("sa")), "a", "b", stars.count())
+    looks = looks.join(signs.select(F.col("node").alias("b"), F.col("signature").alias("sb")), "b")
+    looks = looks.select("a", "b", "sa", "sb").mapInArrow(_agree_of, "a long, b long, agree int")
+    best = materialise(looks.groupBy("b").agg(F.max(F.struct("agree", "a")).alias("m")).select(F.col("m.a").alias("a"), "b"), "pairs")
+    comps = grow(comps, confirm(best, sets))
     members = members.select("key", "slot", "node")
-    for _ in range(ROUNDS - 1):
-        near = propose(members, comps, signs).groupBy("a").agg(F.max(F.struct("agree", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-        near = near.select(F.col("b").alias("a"), F.col("a").alias("b"))
-        comps = grow(comps, materialise(confirm(materialise(near, "pairs"), sets), "found"))
-    comps = grow(comps, materialise(settle(members, comps, signs, sets), "found"))
+    for last in (*[False] * (ROUNDS - 1), True):
+        units = _open_units(members, comps, signs)
+        if units is None:
+            break
+        if last:
+            comps = grow(comps, materialise(settle(units, signs, sets), "found"))
+        else:
+            near = propose(units).groupBy("a").agg(F.max(F.struct("agree", "b")).alias("m")).select(F.col("m.b").alias("a"), F.col("a").alias("b"))
+            comps = grow(comps, confirm(materialise(near, "pairs"), sets))
 
     known = materialise(classes.select("digest", "node", "rep", "n_rows").join(comps, "node", "left"), "known")
     linked = known.where("comp IS NOT NULL").withColumnRenamed("n_rows", "n_copies")
     least = linked.groupBy("comp").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("n_rows"))
-    linked = join_by_key(linked, least, "comp", linked.count(), "node").select("digest", F.col("n_copies").alias("n_rows"), F.col("least").alias("component_id"))
-    alone = known.where("comp IS NULL").select("digest", "n_rows", F.col("rep").alias("component_id"))
-    return rows, materialise(alone.unionByName(linked), "named")
+    linked = join_by_key(linked, least, "comp", linked.count(), "node").select("digest", F.col("n_copies").alias("n_rows"), F.col("least").alias("rep"))
+    named = known.where("comp IS NULL").select("digest", "n_rows", "rep").unionByName(linked)
+    named = materialise(named.select("digest", "n_rows", F.col("rep.doc_id").alias("component_id"), F.col("rep.text_hash").alias("keep_hash")), "named")
+    for t in (classes, sets, stars, best, members, nodes, buckets, known):
+        drop_table(t)
+    return rows, named
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
@@ -397,21 +494,22 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     rows, named = near_classes(docs)
     total = rows.count()
     rows = rows.withColumn("digest", F.when(F.col("doc_id").isNotNull(), F.col("digest")))
-    out = join_by_key(rows, named, "digest", total, F.struct("doc_id", "n_shingles"))
+    out = join_by_key(rows, named.drop("keep_hash"), "digest", total, F.struct("doc_id", "n_shingles"))
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
     """One document of each group, with the columns of ``docs``; rows without words or doc_id all stay.
-    Of several rows with the doc_id that stays, one does."""
-    i = free_name(docs, "kept_id")
-    kept = near_dedup(docs).where("kept AND doc_id IS NOT NULL AND n_shingles > 0").select(F.col("doc_id").alias(i)).distinct()
+    Of rows alike in doc_id and text that stay, one does."""
+    i, h, mine = (free_name(docs, c) for c in ("kept_id", "kept_hash", "text_hash"))
+    _, named = near_classes(docs)
+    kept = named.select(F.col("component_id").alias(i), F.col("keep_hash").alias(h)).distinct()
     wordless = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]") == F.lit(False)
     free = docs.where(F.col("doc_id").isNull() | wordless)
-    rows = docs.where(F.col("doc_id").isNotNull() & ~wordless)
-    rows = rows.join(kept, rows["doc_id"] == kept[i]).drop(i)
-    return rows.dropDuplicates(["doc_id"]).unionByName(free)
+    rows = docs.where(F.col("doc_id").isNotNull() & ~wordless).withColumn(mine, F.xxhash64("text"))
+    rows = rows.join(kept, (rows["doc_id"].cast("long") == kept[i]) & (rows[mine] == kept[h]))
+    return rows.dropDuplicates([i, h]).select(*all_columns(docs)).unionByName(free)
 
 
 #: The report in SQL, for checks on small tables: all pairs that share a shingle.

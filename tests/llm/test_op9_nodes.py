@@ -1,0 +1,143 @@
+"""Near-dedup where doc_ids repeat, where rows are alike, where buckets are large and where filters are tight."""
+
+import random
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from test_llm import corpus, set_of
+from pyspark.sql import functions as F
+
+from sparrel.llm import common, near_dedup
+
+SCHEMA = "doc_id long, text string"
+
+
+def classes_of(rows):
+    """Brute force: set -> the smallest (doc_id) of the sets that are linked with it."""
+    sets = sorted({set_of(t) for d, t in rows if d is not None and set_of(t)}, key=lambda s: sorted(s))
+    up = list(range(len(sets)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, s in enumerate(sets):
+        for j in range(i):
+            both = len(s & sets[j])
+            if both and 100 * both >= 75 * (len(s) + len(sets[j]) - both):
+                up[root(i)] = root(j)
+    ids = defaultdict(list)
+    place = {s: k for k, s in enumerate(sets)}
+    for d, t in rows:
+        if d is not None and set_of(t):
+            ids[root(place[set_of(t)])].append(d)
+    return {s: (root(k), min(ids[root(k)])) for s, k in place.items()}
+
+
+def check(spark, rows, parts=3, keep=True):
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(parts)
+    want = classes_of(rows)
+    got = near_dedup.near_dedup(docs).collect()
+    expect = Counter()
+    for d, t in rows:
+        s = set_of(t)
+        component = None if d is None else want[s][1] if s else d
+        expect[d, len(s), component, d is None or d == component] += 1
+    assert Counter((g["doc_id"], g["n_shingles"], g["component_id"], g["kept"]) for g in got) == expect
+    if not keep:
+        return
+    kept = near_dedup.keep_representatives(docs).collect()
+    groups = Counter(want[set_of(g["text"])][0] for g in kept if g["doc_id"] is not None and set_of(g["text"]))
+    assert groups == Counter({root for root, _ in want.values()})
+    assert all(g["doc_id"] == want[set_of(g["text"])][1] for g in kept if g["doc_id"] is not None and set_of(g["text"]))
+    assert len(kept) - sum(groups.values()) == sum(d is None or not set_of(t) for d, t in rows)
+
+
+def test_texts_of_one_doc_id(spark):
+    check(spark, [(d, t) for d, t, *_ in corpus()])
+
+
+def test_many_texts_of_one_doc_id(spark):
+    r = random.Random(6)
+    bases = [[f"w{r.randrange(500)}" for _ in range(60)] for _ in range(8)]
+    rows = []
+    for k in range(200):
+        words = list(bases[k % 8])
+        for _ in range(r.randrange(3)):
+            words[r.randrange(60)] = f"x{r.randrange(100)}"
+        rows.append((k // 50, " ".join(words)))
+    rows += rows[:5] * 30 + [(3, None), (None, rows[0][1])]
+    check(spark, rows, 7)
+
+
+@pytest.mark.parametrize("blocks", [64, 2])
+def test_large_buckets(spark, monkeypatch, blocks):
+    """One large component, stragglers and other components in the same buckets, in many blocks."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    monkeypatch.setattr(near_dedup, "BLOCKS", blocks)
+    monkeypatch.setattr(common, "ONE_TASK", 0)
+    monkeypatch.setattr(common, "HOT_SHARE", 20)
+    monkeypatch.setattr(near_dedup, "EDGES_AT_ONCE", 2)
+    r = random.Random(11)
+    base = [f"b{k}" for k in range(70)]
+    rows = []
+    for k in range(150):
+        words = list(base)
+        for _ in range(r.choice([0, 1, 1, 2, 2, 3, 4])):
+            words[r.randrange(70)] = f"x{r.randrange(1000)}"
+        rows.append((k, " ".join(words)))
+    check(spark, rows, keep=False)
+
+
+def test_no_pair_within_the_signature_distance_is_refused():
+    r = np.random.default_rng(3)
+    n = near_dedup.CHUNKS * near_dedup.SYMBOLS
+    a = r.integers(0, 1 << 16, (400, near_dedup.HASHES)).astype(np.uint16)
+    b = r.integers(0, 1 << 16, (400, near_dedup.HASHES)).astype(np.uint16)
+    b[:, :n] = a[:, :n]
+    for k in range(len(b)):
+        at = r.choice(n, 27 + (k >= 200), replace=False)
+        b[k, at] = a[k, at] ^ 15
+    same, signed = near_dedup.agree(near_dedup.sketch(a), near_dedup.sketch(b))
+    assert (same == ((a & 15) == (b & 15)).sum(axis=1)).all() and (signed == ((a & 15) == (b & 15))[:, :n].sum(axis=1)).all()
+    assert (same < near_dedup.LEAST_AGREE).mean() > 0.9
+    assert near_dedup.near_enough(a, b).tolist() == [True] * 200 + [False] * 200
+    signs = np.stack([a, b], 1).reshape(-1, near_dedup.HASHES)
+    for k in range(0, 800, 2):
+        unit = {"node": np.arange(2), "comp": np.array([5, 9]), "block": np.zeros(2), "n_shingles": np.array([10, 10]), "signature": signs[k : k + 2], "u": 0, "v": 0}
+        unit["slot"] = int(near_dedup._canonical(signs[k : k + 1], signs[k + 1 : k + 2])[0])
+        for every in (True, False):
+            assert sum(len(i) for i, *_ in near_dedup._pairs_of(unit, every)) == (k < 400)
+
+
+def test_hot_joins_are_those_of_spark(spark, monkeypatch):
+    monkeypatch.setattr(common, "ONE_TASK", 100)
+    left = common.materialise(spark.range(4000).selectExpr("if(id % 2 = 0, 7, id) as a", "id as b"), "left")
+    right = spark.range(0, 4000, 3).selectExpr("id as a", "id * 2 as c").union(spark.createDataFrame([(7, 1)], "a long, c long"))
+    want = left.join(right, "a", "left").select("a", "b", "c")
+    got = common.hot_join(left, right, "a", "b", 4000).select("a", "b", "c")
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
+
+
+def test_components_of_a_star_and_a_path(spark, monkeypatch):
+    monkeypatch.setattr(common, "ONE_TASK", 50)
+    star = [(1000, k) for k in range(1001, 1400)]
+    path = [(k, k + 1) for k in range(1, 200)]
+    links = spark.createDataFrame(star + path + [(5000, 5001)], "a long, b long")
+    got = {g["node"]: g["comp"] for g in near_dedup.components(links).collect()}
+    assert {got[k] for k in range(1000, 1400)} == {1000} and {got[k] for k in range(1, 201)} == {1} and got[5001] == 5000
+
+
+def test_very_long_texts_and_none(spark):
+    long = " ".join(f"w{k}" for k in range(100_000))
+    check(spark, [(2, long), (1, long + " more"), (3, "one"), (4, "One"), (5, ""), (6, None)], keep=False)
+    assert near_dedup.keep_representatives(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_odd_columns(spark):
+    rows = spark.createDataFrame([(1, "a b c d e f", {"x": 1}, 2), (2, "a b c d e f", {"x": 2}, 3)], "doc_id long, text string, `a.map` map<string, int>, kept_id int")
+    rows = rows.withColumn("text_hash", F.lit(1))
+    got = near_dedup.keep_representatives(rows)
+    assert got.columns == rows.columns and got.count() == 1
