@@ -98,7 +98,9 @@ def join_by_key(left: DataFrame, groups: DataFrame, key: str, total: int, spread
     limit = total // HOT_SHARE
     pack = groups.select(F.col(key).alias("_k"), F.struct(*values).alias("_v"), F.col("n_rows").alias("_n"))
     hot = pack.where(F.col("_n") > limit).select(F.col("_k").alias("_hk"), F.col("_v").alias("_hv"))
-    cold = pack.where(F.col("_n") <= limit).select(F.col("_k").alias("_ck"), F.lit(0).alias("_cs"), F.col("_v").alias("_cv"))
+    # zero for all keys, but no constant: Catalyst would fold one into the condition and deal rows by the key alone
+    zero = F.pmod(F.col("_n"), F.lit(1)).cast("int")
+    cold = pack.where(F.col("_n") <= limit).select(F.col("_k").alias("_ck"), zero.alias("_cs"), F.col("_v").alias("_cv"))
     out = left.join(F.broadcast(hot), left[key] == F.col("_hk"), "left")
     salt = F.when(F.col("_hk").isNull() & F.col(key).isNotNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(spread), F.lit(1 << 20)).cast("int") + 1)
     out = out.withColumn("_s", salt).join(cold.hint("merge"), (F.col(key) == F.col("_ck")) & (F.col("_s") == F.col("_cs")), "left")

@@ -54,7 +54,7 @@ BLOCK, BLOCKS, LARGEST = 1024, 64, 16
 #: Shingles of a block's nodes, by which a bucket of long texts is cut into more blocks.
 BLOCK_SHINGLES = 4_000_000
 #: Nodes whose texts are picked by a broadcast of their ids; beyond it by a sort-merge join.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 200_000
 #: Pairs of nodes that are compared at once.
 PAIRS_AT_ONCE = 1 << 18
 #: Edges of a centre that are confirmed in one task.
