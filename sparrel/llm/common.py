@@ -2,7 +2,8 @@
 
 Scratch tables live under ``spark.checkpoint.dir`` (a folder all executors share), are
 written by Spark's own committers and re-read, so lineage is cut at a place that survives
-the loss of executors.  They are removed when the JVM ends.
+the loss of executors.  They are in a folder of the application's own there, which is removed
+when the JVM ends in order.
 """
 
 from __future__ import annotations
@@ -26,25 +27,27 @@ def shared_dir(spark: SparkSession) -> str:
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return "file://" + tempfile.gettempdir()
+
+
+def own_dir(spark: SparkSession) -> str:
+    """The application's folder in the shared one, removed when the JVM ends."""
+    context = spark.sparkContext
     own = getattr(context, "_sparrel_dir", None)
     if own is None:
-        own = context._sparrel_dir = "file://" + tempfile.mkdtemp(prefix="sparrel-")
-        forget_at_exit(spark, own)
+        own = f"{shared_dir(spark)}/sparrel-{uuid.uuid4().hex}"
+        p = spark._jvm.org.apache.hadoop.fs.Path(own)
+        system = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.mkdirs(p)
+        system.deleteOnExit(p)  # of a folder that does not exist yet, this would be forgotten
+        context._sparrel_dir = own
     return own
 
 
-def forget_at_exit(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
-
-
 def scratch_path(spark: SparkSession, label: str) -> str:
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    forget_at_exit(spark, path)
-    return path
+    return f"{own_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
