@@ -34,6 +34,8 @@ from .common import WS, all_columns, free_name, join_by_key, materialise, quoted
 VERSION, MOST_RUNS = 1, 8
 #: Rows that follow one another in a partition and may be counted together when they are alike.
 PLACE_BITS = 12
+#: Shuffle partitions that one task takes of digests: their number suits the texts, of which digests are a small part.
+PARTITIONS_A_TASK = 16
 
 
 def normalised(text: Column) -> Column:
@@ -44,6 +46,14 @@ def digest(text: Column) -> Column:
     return F.unhex(F.sha2(normalised(text).cast("binary"), 256))
 
 
+def _fewer_tasks(digests: DataFrame) -> DataFrame:
+    """Several shuffle partitions in each task, but no fewer tasks than cores.  However few rows a task has, it takes a page
+    of memory for each sort and aggregate, and writes a file; on a local file system that starts three processes."""
+    spark = digests.sparkSession
+    tasks = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // PARTITIONS_A_TASK)
+    return digests.coalesce(max(tasks, spark.sparkContext.defaultParallelism))
+
+
 class IndexBusy(RuntimeError):
     """Another writer has claimed the next version of the index, or died while it had."""
 
@@ -173,8 +183,8 @@ class DigestIndex:
     def _write(self, rows: DataFrame, run: str) -> str:
         self._fs.delete(self._at(run), True)
         name = self._table(run)
-        # one task a bucket, so one file; the writer sorts it
-        rows.select("digest", "keep_id").repartition(self.buckets, "digest").write.insertInto(name, overwrite=True)
+        # all of a bucket in one task, so one file; the writer sorts it
+        _fewer_tasks(rows.select("digest", "keep_id").repartition(self.buckets, "digest")).write.insertInto(name, overwrite=True)
         self.spark.catalog.refreshTable(name)
         return run
 
@@ -191,7 +201,7 @@ def _decide(docs: DataFrame, index: DigestIndex | None, batches: int) -> DataFra
     batches of ascending doc_id; ``first`` is the place of the copy that stays among rows alike."""
     fresh = index is None
     index = index or DigestIndex(docs.sparkSession, scratch_path(docs.sparkSession, "digest-index"))
-    kinds = materialise(_kinds(docs), "digests")
+    kinds = materialise(_fewer_tasks(_kinds(docs)), "digests")
     bounds = []
     if batches > 1:
         cuts = kinds.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000)).first()[0]
@@ -199,7 +209,8 @@ def _decide(docs: DataFrame, index: DigestIndex | None, batches: int) -> DataFra
     number = reduce(lambda n, b: n + F.when(F.col("keep_id") <= b, 0).otherwise(1), bounds, F.lit(0))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")).alias("least")
     groups = kinds.groupBy("digest").agg(least, F.sum("copies").alias("n_rows"))
-    groups = materialise(groups.select("digest", F.col("least.doc_id").alias("keep_id"), F.col("least.place").alias("first"), "n_rows"), "digest-groups")
+    groups = groups.select("digest", F.col("least.doc_id").alias("keep_id"), F.col("least.place").alias("first"), "n_rows")
+    groups = materialise(_fewer_tasks(groups), "digest-groups")
     total = groups.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]
     for k in range(len(bounds) + 1):
         index.append(groups.where(number == k))

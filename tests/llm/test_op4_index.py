@@ -2,11 +2,13 @@
 
 import hashlib
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from sparrel.llm import exact_dedup
+from sparrel.llm.common import own_dir
 from sparrel.llm.exact_dedup import DigestIndex, IndexBusy
 
 
@@ -50,6 +52,34 @@ def test_runs_are_neither_shuffled_nor_sorted(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_many_shuffle_partitions_few_tasks(spark):
+    """Tables of digests have no file for each shuffle partition; a run still has one sorted file a bucket."""
+    settings = {"spark.sql.shuffle.partitions": "96", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        at = Path(own_dir(spark).removeprefix("file://"))
+        before = {*at.iterdir()}
+        rows = spark.range(20_000).selectExpr("id as doc_id", "concat('text  ', id % 15000) as text")
+        got = exact_dedup.exact_dedup(rows)
+        assert got.count() == 20_000 and got.where("kept").count() == 15_000 and got.where("group_size = 2").count() == 10_000
+        new = [p for p in at.iterdir() if p not in before]
+        files = {p.name[:13]: len([*p.glob("part-*.parquet")]) for p in new if p.name.startswith(("digests-", "digest-groups-"))}
+        assert len(files) == 2 and 1 < max(files.values()) <= 6, files
+        index_at = next(p for p in new if p.name.startswith("digest-index-"))
+        index = DigestIndex(spark, f"file://{index_at}")
+        assert index.buckets == 96 and len(index.runs()) == 2 and index.read().count() == 15_000
+        for run in index.state["runs"]:
+            buckets = [f.name.split("_")[1].split(".")[0] for f in (index_at / run).glob("part-*.parquet")]
+            assert len(buckets) == len({*buckets}) <= 96
+        plan = plan_of(index.absent(groups(spark, 0, 100)))
+        assert plan.count("SortMergeJoin") == 2 and plan.count("Sort [") == 1, plan
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_runs_are_merged(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(exact_dedup, "MOST_RUNS", 2)
     index = DigestIndex(spark, f"file://{tmp_path}/index", 4)
